@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,24 +24,10 @@ def mix(x: np.ndarray) -> np.ndarray:
         return _splitmix(np.asarray(x, U) + U(0x9E3779B97F4A7C15))
 
 
-_BASE = 0x9E6C63D0876A9A47 | 1
-_BYTE = mix(np.arange(256, dtype=U) + U(77))
-_POW: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 _PLACE = [int(x) | 1 for x in mix(np.arange(64, dtype=U) + U(901))]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of each at least."""
-    if len(_POW[0]) < n:
-        size = max(n, 1 << 20)
-        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, b, U)
-            p[0] = 1
-            with np.errstate(over="ignore"):
-                _POW[i] = np.cumprod(p, dtype=U)
-    return _POW[0], _POW[1]
-
-
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string array without nulls."""
     texts = pc.fill_null(texts, "")
@@ -61,23 +49,37 @@ def _in_word() -> np.ndarray:
 IN_WORD = _in_word()
 
 
+#: Words over this many bytes are hashed one by one.
+_LONG = 128
+
+
 def words(data: np.ndarray, off: np.ndarray, in_word: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs of word bytes) of all texts, and each text's offsets into them."""
     n = len(data)
     if n == 0:
         return np.zeros(0, U), np.zeros(len(off), np.int64)
     is_w = in_word[data]
-    cut = np.zeros(n + 1, bool)
-    cut[off] = True
-    starts = np.flatnonzero(is_w & (cut[:-1] | ~np.concatenate(([False], is_w[:-1]))))
-    ends = np.flatnonzero(is_w & (cut[1:] | ~np.concatenate((is_w[1:], [False])))) + 1
-    up, down = _powers(n)
-    with np.errstate(over="ignore"):
-        sums = np.empty(n + 1, U)
-        sums[0] = 0
-        np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h ^ (ends - starts).astype(U)), np.searchsorted(starts, off).astype(np.int64)
+    first, last = is_w.copy(), is_w.copy()
+    np.greater(is_w[1:], is_w[:-1], out=first[1:])
+    np.greater(is_w[:-1], is_w[1:], out=last[:-1])
+    head, tail = off[:-1][off[:-1] < n], off[1:][off[1:] > 0] - 1
+    first[head], last[tail] = is_w[head], is_w[tail]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size = ends - starts
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = data
+    eight = np.ndarray((n + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    part = eight[starts] & _KEEP[np.minimum(size, 8)]
+    h = mix(part ^ (size.astype(U) << U(56)))
+    live = np.flatnonzero((size > 8) & (size <= _LONG))
+    at = 8
+    while len(live):
+        h[live] = mix(h[live] ^ (eight[starts[live] + at] & _KEEP[np.minimum(size[live] - at, 8)]))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h, np.searchsorted(starts, off).astype(np.int64)
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,9 +101,8 @@ def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
     out = np.empty(so[-1], U)
     full = n >= width
     if full.any():
-        at = np.arange(so[-1]) - np.repeat(so[:-1], count) + np.repeat(wo[:-1], count)
-        m = np.repeat(full, count)
-        out[m] = acc[at[m]]
+        for i in np.flatnonzero(full).tolist():
+            out[so[i] : so[i + 1]] = acc[wo[i] : wo[i + 1] - width + 1]
     with np.errstate(over="ignore"):
         for i in np.flatnonzero(~full & (count > 0)).tolist():
             a, b = int(wo[i]), int(wo[i + 1])
