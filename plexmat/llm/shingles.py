@@ -55,9 +55,15 @@ _LONG = 128
 
 def words(data: np.ndarray, off: np.ndarray, in_word: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs of word bytes) of all texts, and each text's offsets into them."""
+    h, starts, _ = spans(data, off, in_word)
+    return h, np.searchsorted(starts, off).astype(np.int64)
+
+
+def spans(data: np.ndarray, off: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' hashes, and where they start and end."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, U), np.zeros(len(off), np.int64)
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     is_w = in_word[data]
     first, last = is_w.copy(), is_w.copy()
     np.greater(is_w[1:], is_w[:-1], out=first[1:])
@@ -79,7 +85,7 @@ def words(data: np.ndarray, off: np.ndarray, in_word: np.ndarray = IN_WORD) -> t
         live = live[size[live] > at]
     for i in np.flatnonzero(size > _LONG).tolist():
         h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
-    return h, np.searchsorted(starts, off).astype(np.int64)
+    return h, starts, ends
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
