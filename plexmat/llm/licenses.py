@@ -22,10 +22,10 @@ EQUIVALENT = {
     "owner": "holder", "http": "https", "sublicence": "sublicense",
 }
 _WORDS = {a: " ".join(re.findall(r"[^\W_]+", b)) for a, b in EQUIVALENT.items()}
-_SAME = re.compile(r"\b(?:" + "|".join(sorted(EQUIVALENT, key=len, reverse=True)) + r")\b")
 _COPYRIGHT = re.compile(r"^[^\w\n]*(?:copyright|©|\(c\))(?=\W)(?:[^\n]*\d{4}[^\n]*|[^\n]*(?:©|\(c\))[^\n]*|[^\n]*all rights reserved[^\n]*)$|^[^\w\n]*all rights reserved\W*$", re.M)
-_MARK = re.compile(r"(?:[^\w\n]|_)+")
-_BULLET = re.compile(r"(?:(?<=\s)|^)(?:\(?(?:\d{1,2}|[a-z])[.)]|[*•-])(?=\s)", re.M)
+_WORD = re.compile(r"[^\W_]+").findall
+#: A list mark at the start of a line.
+_BULLET = re.compile(r"[^\w\n(]*(?:\(?(?:\d{1,2}|[a-z])[.)]|[*•-])(?=\s)").match
 
 
 def canonical_lines(text: str) -> list[str]:
@@ -34,8 +34,11 @@ def canonical_lines(text: str) -> list[str]:
     text = text.lower()
     if "copyright" in text or "©" in text or "(c)" in text or "all rights" in text:
         text = _COPYRIGHT.sub("", text)
-    text = _MARK.sub(" ", _BULLET.sub(" ", text)).replace("\n ", "\n").replace(" \n", "\n").strip(" ")
-    return _SAME.sub(lambda m: _WORDS[m[0]], text).split("\n")
+    out, same = [], _WORDS.get
+    for line in text.split("\n"):
+        m = _BULLET(line)
+        out.append(" ".join([same(w, w) for w in _WORD(line[m.end() :] if m else line)]))
+    return out
 
 
 def canonical(text: str) -> str:

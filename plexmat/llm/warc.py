@@ -30,8 +30,6 @@ _KINDS = [pa.string()] * 8 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|body|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|title|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
-_GAPS = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r" ?\n[ \n]*")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*\bhref\s*=", re.I)
@@ -41,7 +39,7 @@ def plain_text(page: str) -> str:
     """The page's text: without scripts, styles, comments and tags; block elements end lines, and character references are read."""
     text = _TAG.sub("", _BLOCK.sub("\n", _DROP.sub(" ", page)))
     text = html.unescape(text) if "&" in text else text
-    return _LINES.sub("\n", _GAPS.sub(" ", text)).strip()
+    return "\n".join(filter(None, (" ".join(x.split()) for x in text.split("\n"))))
 
 
 def sha1(content: bytes) -> str:
