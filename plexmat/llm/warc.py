@@ -42,8 +42,13 @@ def plain_text(page: str) -> str:
     return "\n".join(filter(None, (" ".join(x.split()) for x in text.split("\n"))))
 
 
+_PAIRS = [base64.b32encode(bytes([i >> 2, i << 6 & 255])).decode()[:2] for i in range(1024)]
+
+
 def sha1(content: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(content).digest()).decode()
+    """The digest as WARC files write it, in base 32 (ten bits at a time)."""
+    n = int.from_bytes(hashlib.sha1(content).digest())
+    return "sha1:" + "".join([_PAIRS[n >> s & 1023] for s in range(150, -1, -10)])
 
 
 def record_id(*parts: str) -> str:
