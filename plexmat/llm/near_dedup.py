@@ -25,9 +25,9 @@ THRESHOLD = 0.8
 #: Length of the first time slice; each later one is as long as all before it.
 FIRST = 2.0**-7
 #: Members of a bucket up to which all its pairs are candidates at once; larger ones go round by round.
-DIRECT = 16
+DIRECT = 32
 #: Representatives that a round takes from a large bucket.
-PER_ROUND = 8
+PER_ROUND = 16
 BROADCAST_ROWS = 500_000
 _NONE = U(0xFFFFFFFFFFFFFFFF)
 
@@ -160,21 +160,18 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(_n, _c): each node of the edges (_a, _b) with the smallest node of its component.
 
-    Each round, a node takes the smallest label among its own and its neighbours', then its label's label; tables are
-    stored between rounds, until no label changes. Minima are combined before each shuffle.
+    Each round, a node takes the smallest label among its own and its neighbours', then its label's label; a table is
+    stored each round, until no label changes. Minima are combined before each shuffle.
     """
     both = common.stored(edges.select("_a", "_b").union(edges.select("_b", "_a")).distinct(), "edges")
-    label = common.stored(both.groupBy("_a").agg(F.min("_b").alias("_m")).select(F.col("_a").alias("_n"), F.least("_a", "_m").alias("_c")), "labels")
+    label = both.select(F.col("_a").alias("_n"), F.col("_a").alias("_c")).distinct()
     while True:
-        near = both.join(label.select(F.col("_n").alias("_k"), "_c"), F.col("_b") == F.col("_k")).select(F.col("_a").alias("_n"), "_c")
-        low = near.unionByName(label).groupBy("_n").agg(F.min("_c").alias("_c"))
+        near = both.join(label.select(F.col("_n").alias("_k"), "_c"), F.col("_b") == F.col("_k")).select(F.col("_a").alias("_n"), "_c", F.lit(None).cast("binary").alias("_o"))
+        low = near.unionByName(label.select("_n", "_c", F.col("_c").alias("_o"))).groupBy("_n").agg(F.min("_c").alias("_c"), F.min("_o").alias("_o"))
         low = common.stored(low, "labels")
-        jump = low.join(low.select(F.col("_n").alias("_k"), F.col("_c").alias("_cc")), F.col("_c") == F.col("_k"), "left").select("_n", F.least("_c", F.coalesce("_cc", "_c")).alias("_c"))
-        jump = common.stored(jump, "labels")
-        moved = jump.join(label.select(F.col("_n").alias("_k"), F.col("_c").alias("_old")), (F.col("_n") == F.col("_k")) & (F.col("_c") != F.col("_old"))).limit(1).count()
-        label = jump
-        if not moved:
-            return label
+        if not low.where(F.col("_c") < F.col("_o")).limit(1).count():
+            return low.select("_n", "_c")
+        label = low.join(low.select(F.col("_n").alias("_k"), F.col("_c").alias("_cc")), F.col("_c") == F.col("_k")).select("_n", F.least("_c", "_cc").alias("_c"))
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, direct: int = DIRECT, per_round: int = PER_ROUND) -> DataFrame:
@@ -201,34 +198,45 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     pairs = one.join(two, (F.col("_key") == F.col("_k")) & (F.col("_a") < F.col("_b"))).select("_a", "_b").distinct()
     wanted = nodes.select("_g", "_i").join(members.select(F.col("_g").alias("_m")).distinct(), F.col("_g") == F.col("_m"), "left_semi")
     sets = common.stored(_sets(docs, common.stored(wanted, "nodes"), id_col, text_col), "sets")
-    edges = common.stored(_links(pairs, sets, threshold), "links")
-    large = members.where(F.col("_n") > direct).select("_key", "_g")
-    label = components(edges)
-    # Members of large buckets that have not yet been representatives, in their order within the bucket.
+    label = components(_links(pairs, sets, threshold))
+    # Texts in many and large buckets come first as representatives: what others are copies of is among them.
+    rank = members.groupBy("_g").agg(F.sum("_n").alias("_w")).select(F.col("_g").alias("_rg"), "_w")
+    large = common.stored(members.where(F.col("_n") > direct).select("_key", "_g").join(rank, F.col("_g") == F.col("_rg")).select("_key", "_g", "_w"), "large")
+    # Members of large buckets that have not yet been representatives, while a bucket has more than one component.
     while True:
-        now = large.join(label.select(F.col("_n").alias("_l"), "_c"), F.col("_g") == F.col("_l"), "left").select("_key", "_g", F.coalesce("_c", "_g").alias("_c"))
-        now = common.stored(now, "members")
+        now = large.join(label.select(F.col("_n").alias("_l"), "_c"), F.col("_g") == F.col("_l"), "left").select("_key", "_g", "_w", F.coalesce("_c", "_g").alias("_c"))
         mixed = now.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select((F.col("_key") + 0).alias("_k"))
         live = common.stored(now.join(mixed.hint("merge"), F.col("_key") == F.col("_k"), "left_semi"), "live")
         if not live.limit(1).count():
             break
-        # The members least by component and name: first one of each component would be best, but needs a bucket's rows in one place.
-        first = _least(live, per_round)
-        reps = first.select(F.col("_key").alias("_rk"), F.col("_g").alias("_rep"), F.col("_c").alias("_rc"))
+        reps = _foremost(live, per_round).select(F.col("_key").alias("_rk"), F.col("_g").alias("_rep"), F.col("_c").alias("_rc"))
+        reps = common.stored(reps, "reps")
         cand = live.join(reps, (F.col("_key") == F.col("_rk")) & (F.col("_c") != F.col("_rc")))
         cand = cand.select(F.least("_g", "_rep").alias("_a"), F.greatest("_g", "_rep").alias("_b")).distinct()
-        edges = common.stored(edges.unionByName(_links(cand, sets, threshold)), "links")
-        label = components(edges)
-        large = live.join(reps, (F.col("_key") == F.col("_rk")) & (F.col("_g") == F.col("_rep")), "left_anti").select("_key", "_g")
+        found = common.stored(_links(cand, sets, threshold), "links")
+        if found.limit(1).count():
+            label = common.stored(_joined(label, found), "labels")
+        large = live.join(reps, (F.col("_key") == F.col("_rk")) & (F.col("_g") == F.col("_rep")), "left_anti").select("_key", "_g", "_w")
     classed = label.select(F.col("_n").alias("_ln"), "_c")
     tagged = nodes.select("_g").join(classed, F.col("_g") == F.col("_ln"), "left").select(F.concat(F.col("_g"), F.lit(b"")).alias("_ng"), F.coalesce("_c", "_g").alias("_class")).hint("merge")
     return sk.select("_i", "_x", "_g").join(tagged, F.col("_g") == F.col("_ng")).select("_i", "_x", "_g", "_class")
 
 
-def _least(live: DataFrame, n: int) -> DataFrame:
-    """Of each bucket, n members: the least of each of n hash parts. Minima are combined before the shuffle."""
-    part = F.pmod(F.xxhash64("_g", "_c"), F.lit(n))
-    return live.groupBy("_key", part.alias("_part")).agg(F.min(F.struct("_g", "_c")).alias("_r")).select("_key", F.col("_r._g").alias("_g"), F.col("_r._c").alias("_c"))
+def _foremost(live: DataFrame, n: int) -> DataFrame:
+    """Of each bucket, up to n members: the foremost by rank of each of n hash parts. Combined before the shuffle."""
+    part = F.pmod(F.xxhash64("_g"), F.lit(n))
+    return live.groupBy("_key", part.alias("_part")).agg(F.max(F.struct("_w", "_g", "_c")).alias("_r")).select("_key", F.col("_r._g").alias("_g"), F.col("_r._c").alias("_c"))
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels with the components that further links join: found on the graph of components alone."""
+    of = label.select(F.col("_n").alias("_l"), "_c")
+    ends = links.join(of, F.col("_a") == F.col("_l"), "left").select(F.coalesce("_c", "_a").alias("_a"), "_b")
+    ends = ends.join(of, F.col("_b") == F.col("_l"), "left").select("_a", F.coalesce("_c", "_b").alias("_b")).distinct()
+    merged = components(ends).select(F.col("_n").alias("_m"), F.col("_c").alias("_new"))
+    known = label.join(merged, F.col("_c") == F.col("_m"), "left").select("_n", F.coalesce("_new", "_c").alias("_c"))
+    fresh = merged.join(label.select(F.col("_n").alias("_l")), F.col("_m") == F.col("_l"), "left_anti").select(F.col("_m").alias("_n"), F.col("_new").alias("_c"))
+    return known.unionByName(fresh)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
