@@ -64,7 +64,7 @@ def top_k(targets: DataFrame, sources: DataFrame, k: int, metric: str = "dot", b
     blocks = max(1, math.ceil(n / block))
     parts = max(1, math.ceil(blocks**0.5))
     s = s.withColumn("_b", F.pmod(F.xxhash64("source_id"), F.lit(blocks))).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    t = t.withColumn("_p", F.pmod(F.xxhash64("target_id"), F.lit(parts)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    t = t.withColumn("_p", F.pmod(F.xxhash64("target_id"), F.lit(parts)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
