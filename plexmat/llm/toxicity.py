@@ -55,7 +55,7 @@ def _unmasked(m: re.Match) -> str:
     """The letters that a run of digits and signs stands for, if it follows a letter or begins a word."""
     text, a, b = m.string, m.start(), m.end()
     before = text[a - 1] if a else " "
-    if before.isalpha() or (not before.isalnum() and before != "_" and text[b : b + 2].isalpha()):
+    if before.isalpha() or (not before.isalnum() and before != "_" and (text[b + 1 : b + 2].isalpha() or text[b + 1 : b + 2] in DIGITS)):
         return m[0].translate(_DIGIT)
     return m[0]
 
