@@ -26,8 +26,9 @@ THRESHOLD = 0.8
 FIRST = 2.0**-7
 #: Members of a bucket up to which all its pairs are candidates at once; larger ones go round by round.
 DIRECT = 32
-#: Representatives that a round takes from a large bucket.
+#: Representatives that the first round takes from a large bucket, and how many times as many each later one takes.
 PER_ROUND = 16
+GROWTH = 4
 BROADCAST_ROWS = 500_000
 _NONE = U(0xFFFFFFFFFFFFFFFF)
 
@@ -180,9 +181,10 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     A class is a connected component of texts whose sets of five-word shingles (words: letters and digits, in lower
     case) have Jaccard similarity of `threshold` or more. Texts of one set are one node, whatever their number.
     Candidates share a band of the signatures. All pairs of a bucket of at most `direct` sets are checked exactly. Of
-    a larger bucket, `per_round` representatives are compared with all members in other components so far, round by
-    round, until its remaining members are in one component or all have been representatives: so no candidate link
-    between components is lost, and no round makes more pairs than members times per_round.
+    a larger bucket, representatives are compared with all members in other components so far, round by round, until
+    its remaining members are in one component: so no candidate link between components is lost. The first
+    `per_round` are the bucket's foremost members; each later round takes up to GROWTH times as many, from outside
+    its largest component alone. The rounds thus grow with the logarithm of what is left outside.
 
     Null text counts as empty; empty texts are one class. A text of fewer than five words is its one shingle. An
     empty table gives an empty result; repeated rows share their class.
@@ -203,13 +205,17 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rank = members.groupBy("_g").agg(F.sum("_n").alias("_w")).select(F.col("_g").alias("_rg"), "_w")
     large = common.stored(members.where(F.col("_n") > direct).select("_key", "_g").join(rank, F.col("_g") == F.col("_rg")).select("_key", "_g", "_w"), "large")
     # Members of large buckets that have not yet been representatives, while a bucket has more than one component.
+    first = True
     while True:
         now = large.join(label.select(F.col("_n").alias("_l"), "_c"), F.col("_g") == F.col("_l"), "left").select("_key", "_g", "_w", F.coalesce("_c", "_g").alias("_c"))
-        mixed = now.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select((F.col("_key") + 0).alias("_k"))
-        live = common.stored(now.join(mixed.hint("merge"), F.col("_key") == F.col("_k"), "left_semi"), "live")
+        parts = now.groupBy("_key", "_c").agg(F.count(F.lit(1)).alias("_m"))
+        mixed = parts.groupBy("_key").agg(F.max(F.struct("_m", "_c")).alias("_main"), F.count(F.lit(1)).alias("_m")).where(F.col("_m") > 1)
+        mixed = mixed.select((F.col("_key") + 0).alias("_k"), F.col("_main._c").alias("_main"))
+        live = common.stored(now.join(mixed.hint("merge"), F.col("_key") == F.col("_k")).select("_key", "_g", "_w", "_c", "_main"), "live")
         if not live.limit(1).count():
             break
-        reps = _foremost(live, per_round).select(F.col("_key").alias("_rk"), F.col("_g").alias("_rep"), F.col("_c").alias("_rc"))
+        # When all members outside a bucket's largest component have been representatives, the bucket is done.
+        reps = _foremost(live if first else live.where(F.col("_c") != F.col("_main")), per_round).select(F.col("_key").alias("_rk"), F.col("_g").alias("_rep"), F.col("_c").alias("_rc"))
         reps = common.stored(reps, "reps")
         cand = live.join(reps, (F.col("_key") == F.col("_rk")) & (F.col("_c") != F.col("_rc")))
         cand = cand.select(F.least("_g", "_rep").alias("_a"), F.greatest("_g", "_rep").alias("_b")).distinct()
@@ -217,6 +223,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         if found.limit(1).count():
             label = common.stored(_joined(label, found), "labels")
         large = live.join(reps, (F.col("_key") == F.col("_rk")) & (F.col("_g") == F.col("_rep")), "left_anti").select("_key", "_g", "_w")
+        first, per_round = False, per_round * GROWTH
     classed = label.select(F.col("_n").alias("_ln"), "_c")
     tagged = nodes.select("_g").join(classed, F.col("_g") == F.col("_ln"), "left").select(F.concat(F.col("_g"), F.lit(b"")).alias("_ng"), F.coalesce("_c", "_g").alias("_class")).hint("merge")
     return sk.select("_i", "_x", "_g").join(tagged, F.col("_g") == F.col("_ng")).select("_i", "_x", "_g", "_class")
