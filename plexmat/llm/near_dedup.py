@@ -183,8 +183,10 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Candidates share a band of the signatures. All pairs of a bucket of at most `direct` sets are checked exactly. Of
     a larger bucket, representatives are compared with all members in other components so far, round by round, until
     its remaining members are in one component: so no candidate link between components is lost. The first
-    `per_round` are the bucket's foremost members; each later round takes up to GROWTH times as many, from outside
-    its largest component alone. The rounds thus grow with the logarithm of what is left outside.
+    `per_round` are the bucket's foremost members. The members left are then dealt anew by their rare shingles, see
+    _by_rare(), which parts texts that share a frequent passage alone. Each later round takes up to GROWTH times as
+    many representatives, from outside a bucket's largest component alone. The rounds thus grow with the logarithm of
+    what is left outside.
 
     Null text counts as empty; empty texts are one class. A text of fewer than five words is its one shingle. An
     empty table gives an empty result; repeated rows share their class.
@@ -223,12 +225,28 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         if found.limit(1).count():
             label = common.stored(_joined(label, found), "labels")
         large = live.join(reps, (F.col("_key") == F.col("_rk")) & (F.col("_g") == F.col("_rep")), "left_anti").select("_key", "_g", "_w")
+        if first:
+            large = common.stored(_by_rare(large, sets, threshold), "large")
         first, per_round = False, per_round * GROWTH
     classed = label.select(F.col("_n").alias("_ln"), "_c")
     tagged = nodes.select("_g").join(classed, F.col("_g") == F.col("_ln"), "left").select(F.concat(F.col("_g"), F.lit(b"")).alias("_ng"), F.coalesce("_c", "_g").alias("_class")).hint("merge")
     return sk.select("_i", "_x", "_g").join(tagged, F.col("_g") == F.col("_ng")).select("_i", "_x", "_g", "_class")
 
 
+def _by_rare(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(_key, _g, _w): each member under the rarest of its shingles, so many that two members of that similarity share a key.
+
+    Of a set of z shingles in any one order, a set of similarity t shares one of the first z - ceil(t z) + 1. The order
+    is by how many members have a shingle, then by shingle. Shingles of a single member come first and need no row.
+    """
+    some = members.groupBy("_g").agg(F.max("_w").alias("_w")).select(F.col("_g").alias("_m"), "_w")
+    tokens = sets.join(some, F.col("_g") == F.col("_m")).select("_g", "_w", F.size("_s").alias("_z"), F.explode("_s").alias("_t"))
+    often = tokens.groupBy("_t").agg(F.count(F.lit(1)).alias("_f")).where(F.col("_f") > 1).select((F.col("_t") + 0).alias("_ft"), "_f").hint("merge")
+    shared = tokens.join(often, F.col("_t") == F.col("_ft")).groupBy("_g", "_w", "_z").agg(F.sort_array(F.collect_list(F.struct("_f", "_t"))).alias("_p"))
+    first = (F.size("_p") + 1 - F.ceil(F.col("_z") * threshold - 1e-9)).cast("int")
+    return shared.withColumn("_n", first).where("_n > 0").select(F.explode(F.slice("_p", 1, F.col("_n"))).alias("_e"), "_g", "_w").select(F.col("_e._t").alias("_key"), "_g", "_w")
+
+
 def _foremost(live: DataFrame, n: int) -> DataFrame:
     """Of each bucket, up to n members: the foremost by rank of each of n hash parts. Combined before the shuffle."""
     part = F.pmod(F.xxhash64("_g"), F.lit(n))
