@@ -205,26 +205,26 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     label = components(_links(pairs, sets, threshold))
     # Texts in many and large buckets come first as representatives: what others are copies of is among them.
     rank = members.groupBy("_g").agg(F.sum("_n").alias("_w")).select(F.col("_g").alias("_rg"), "_w")
-    large = common.stored(members.where(F.col("_n") > direct).select("_key", "_g").join(rank, F.col("_g") == F.col("_rg")).select("_key", "_g", "_w"), "large")
+    large = common.stored(members.where(F.col("_n") > direct).select("_key", "_g").join(rank, F.col("_g") == F.col("_rg")).selectExpr("_key", "_g", "_w", "0 AS _z", "0 AS _left", "true AS _lead"), "large")
     # Members of large buckets that have not yet been representatives, while a bucket has more than one component.
     first = True
     while True:
-        now = large.join(label.select(F.col("_n").alias("_l"), "_c"), F.col("_g") == F.col("_l"), "left").select("_key", "_g", "_w", F.coalesce("_c", "_g").alias("_c"))
-        parts = now.groupBy("_key", "_c").agg(F.count(F.lit(1)).alias("_m"))
-        mixed = parts.groupBy("_key").agg(F.max(F.struct("_m", "_c")).alias("_main"), F.count(F.lit(1)).alias("_m")).where(F.col("_m") > 1)
+        now = large.join(label.select(F.col("_n").alias("_l"), "_c"), F.col("_g") == F.col("_l"), "left").select(*large.columns, F.coalesce("_c", "_g").alias("_c"))
+        parts = now.groupBy("_key", "_c").agg(F.count(F.lit(1)).alias("_m"), F.max("_lead").alias("_lead"))
+        mixed = parts.groupBy("_key").agg(F.max(F.struct("_m", "_c")).alias("_main"), F.count(F.lit(1)).alias("_m"), F.max("_lead").alias("_lead")).where("_m > 1 and _lead")
         mixed = mixed.select((F.col("_key") + 0).alias("_k"), F.col("_main._c").alias("_main"))
-        live = common.stored(now.join(mixed.hint("merge"), F.col("_key") == F.col("_k")).select("_key", "_g", "_w", "_c", "_main"), "live")
+        live = common.stored(now.join(mixed.hint("merge"), F.col("_key") == F.col("_k")).select(*now.columns, "_main"), "live")
         if not live.limit(1).count():
             break
         # When all members outside a bucket's largest component have been representatives, the bucket is done.
-        reps = _foremost(live if first else live.where(F.col("_c") != F.col("_main")), per_round).select(F.col("_key").alias("_rk"), F.col("_g").alias("_rep"), F.col("_c").alias("_rc"))
+        reps = _foremost(live if first else live.where(F.col("_c") != F.col("_main")), per_round).select(F.col("_key").alias("_rk"), F.col("_g").alias("_rep"), F.col("_c").alias("_rc"), F.col("_z").alias("_rz"), F.col("_left").alias("_rl"))
         reps = common.stored(reps, "reps")
-        cand = live.join(reps, (F.col("_key") == F.col("_rk")) & (F.col("_c") != F.col("_rc")))
+        cand = live.join(reps, (F.col("_key") == F.col("_rk")) & (F.col("_c") != F.col("_rc")) & (F.least("_left", "_rl") >= (F.col("_z") + F.col("_rz")) * (threshold / (1 + threshold)) - 1e-6))
         cand = cand.select(F.least("_g", "_rep").alias("_a"), F.greatest("_g", "_rep").alias("_b")).distinct()
         found = common.stored(_links(cand, sets, threshold), "links")
         if found.limit(1).count():
             label = common.stored(_joined(label, found), "labels")
-        large = live.join(reps, (F.col("_key") == F.col("_rk")) & (F.col("_g") == F.col("_rep")), "left_anti").select("_key", "_g", "_w")
+        large = live.join(reps, (F.col("_key") == F.col("_rk")) & (F.col("_g") == F.col("_rep")), "left_anti").select(*large.columns)
         if first:
             large = common.stored(_by_rare(large, sets, threshold), "large")
         first, per_round = False, per_round * GROWTH
@@ -234,23 +234,28 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def _by_rare(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(_key, _g, _w): each member under the rarest of its shingles, so many that two members of that similarity share a key.
+    """(_key, _g, _w, _z, _left, _lead): each member under the rarest of its shingles, so many that two similar members share a key.
 
     Of a set of z shingles in any one order, a set of similarity t shares one of the first z - ceil(t z) + 1. The order
     is by how many members have a shingle, then by shingle. Shingles of a single member come first and need no row.
+    _left counts the set's shingles from the key on: if the key is the first that two sets share, they have at most the
+    smaller _left in common, and need t / (1 + t) of the sum of their sizes. _lead tells if _left lets a set be the
+    smaller one of a pair; a key without such a member has no pair.
     """
     some = members.groupBy("_g").agg(F.max("_w").alias("_w")).select(F.col("_g").alias("_m"), "_w")
     tokens = sets.join(some, F.col("_g") == F.col("_m")).select("_g", "_w", F.size("_s").alias("_z"), F.explode("_s").alias("_t"))
     often = tokens.groupBy("_t").agg(F.count(F.lit(1)).alias("_f")).where(F.col("_f") > 1).select((F.col("_t") + 0).alias("_ft"), "_f").hint("merge")
     shared = tokens.join(often, F.col("_t") == F.col("_ft")).groupBy("_g", "_w", "_z").agg(F.sort_array(F.collect_list(F.struct("_f", "_t"))).alias("_p"))
-    first = (F.size("_p") + 1 - F.ceil(F.col("_z") * threshold - 1e-9)).cast("int")
-    return shared.withColumn("_n", first).where("_n > 0").select(F.explode(F.slice("_p", 1, F.col("_n"))).alias("_e"), "_g", "_w").select(F.col("_e._t").alias("_key"), "_g", "_w")
+    first = (F.size("_p") + 1 - F.ceil(F.col("_z") * threshold - 1e-6)).cast("int")
+    placed = shared.withColumn("_n", first).where("_n > 0").select("_g", "_w", "_z", F.size("_p").alias("_all"), F.posexplode(F.slice("_p", 1, F.col("_n"))).alias("_at", "_e"))
+    placed = placed.select(F.col("_e._t").alias("_key"), "_g", "_w", "_z", (F.col("_all") - F.col("_at")).alias("_left"))
+    return placed.withColumn("_lead", F.col("_left") >= F.col("_z") * (2 * threshold / (1 + threshold)) - 1e-6)
 
 
 def _foremost(live: DataFrame, n: int) -> DataFrame:
     """Of each bucket, up to n members: the foremost by rank of each of n hash parts. Combined before the shuffle."""
     part = F.pmod(F.xxhash64("_g"), F.lit(n))
-    return live.groupBy("_key", part.alias("_part")).agg(F.max(F.struct("_w", "_g", "_c")).alias("_r")).select("_key", F.col("_r._g").alias("_g"), F.col("_r._c").alias("_c"))
+    return live.groupBy("_key", part.alias("_part")).agg(F.max(F.struct("_w", "_g", "_c", "_z", "_left")).alias("_r")).select("_key", "_r.*")
 
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
