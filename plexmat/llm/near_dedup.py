@@ -28,7 +28,7 @@ FIRST = 2.0**-7
 DIRECT = 32
 #: Representatives that the first round takes from a large bucket, and how many times as many each later one takes.
 PER_ROUND = 16
-GROWTH = 4
+GROWTH = 16
 BROADCAST_ROWS = 500_000
 _NONE = U(0xFFFFFFFFFFFFFFFF)
 
@@ -209,7 +209,8 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # Members of large buckets that have not yet been representatives, while a bucket has more than one component.
     first = True
     while True:
-        now = large.join(label.select(F.col("_n").alias("_l"), "_c"), F.col("_g") == F.col("_l"), "left").select(*large.columns, F.coalesce("_c", "_g").alias("_c"))
+        # After a round without links the members keep the components they have.
+        now = large if "_c" in large.columns else large.join(label.select(F.col("_n").alias("_l"), "_c"), F.col("_g") == F.col("_l"), "left").select(*large.columns, F.coalesce("_c", "_g").alias("_c"))
         parts = now.groupBy("_key", "_c").agg(F.count(F.lit(1)).alias("_m"), F.max("_lead").alias("_lead"))
         mixed = parts.groupBy("_key").agg(F.max(F.struct("_m", "_c")).alias("_main"), F.count(F.lit(1)).alias("_m"), F.max("_lead").alias("_lead")).where("_m > 1 and _lead")
         mixed = mixed.select((F.col("_key") + 0).alias("_k"), F.col("_main._c").alias("_main"))
@@ -222,9 +223,10 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         cand = live.join(reps, (F.col("_key") == F.col("_rk")) & (F.col("_c") != F.col("_rc")) & (F.least("_left", "_rl") >= (F.col("_z") + F.col("_rz")) * (threshold / (1 + threshold)) - 1e-6))
         cand = cand.select(F.least("_g", "_rep").alias("_a"), F.greatest("_g", "_rep").alias("_b")).distinct()
         found = common.stored(_links(cand, sets, threshold), "links")
+        large = live.drop("_main").join(reps, (F.col("_key") == F.col("_rk")) & (F.col("_g") == F.col("_rep")), "left_anti")
         if found.limit(1).count():
             label = common.stored(_joined(label, found), "labels")
-        large = live.join(reps, (F.col("_key") == F.col("_rk")) & (F.col("_g") == F.col("_rep")), "left_anti").select(*large.columns)
+            large = large.drop("_c")
         if first:
             large = common.stored(_by_rare(large, sets, threshold), "large")
         first, per_round = False, per_round * GROWTH
