@@ -95,9 +95,9 @@ def signatures(elements: np.ndarray, weights: np.ndarray, off: np.ndarray, k: in
     return sig.reshape(n, k)
 
 
-def weight_of(counts: np.ndarray) -> np.ndarray:
-    """Weights of the shingles: repeats count, but damped, so that one repeated line does not outweigh a text."""
-    return 1 + np.log(counts)
+def weight_of(counts: np.ndarray, counted: bool = False) -> np.ndarray:
+    """Weights of the shingles: 1 each, as in the exact check. If counted, repeats count, but damped: this loses pairs whose repeats differ."""
+    return 1 + np.log(counts) if counted else np.ones(len(counts))
 
 
 def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -120,13 +120,13 @@ def _list(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, counted: bool = False) -> DataFrame:
     """(_i, _x, _g, _bands) of each row: id, hash of the text, name of its set of shingles, band keys (none of an empty text)."""
     src = docs.select(F.col(id_col).alias("_i"), F.xxhash64(common.text_of(text_col)).alias("_x"), common.text_of(text_col).alias("_t"))
 
     def run(b: pa.RecordBatch) -> dict:
         values, counts, off = shingles.shingles(b.column("_t"))
-        keys = bands_of(signatures(values, weight_of(counts), off, bands * rows), bands, rows)
+        keys = bands_of(signatures(values, weight_of(counts, counted), off, bands * rows), bands, rows)
         some = np.diff(off) > 0
         ends = np.concatenate(([0], np.cumsum(some * bands)))
         return {"_i": b.column("_i"), "_x": b.column("_x"), "_g": pa.array(_names(values, off), pa.binary()), "_bands": _list(keys[some].ravel(), ends)}
@@ -175,12 +175,12 @@ def components(edges: DataFrame) -> DataFrame:
         label = low.join(low.select(F.col("_n").alias("_k"), F.col("_c").alias("_cc")), F.col("_c") == F.col("_k")).select("_n", F.least("_c", "_cc").alias("_c"))
 
 
-def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, direct: int = DIRECT, per_round: int = PER_ROUND) -> DataFrame:
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, direct: int = DIRECT, per_round: int = PER_ROUND, counted: bool = False) -> DataFrame:
     """Rows (_i, _x, _g, _class), one per row of docs: its id, hash of its text, name of its set, and class.
 
     A class is a connected component of texts whose sets of five-word shingles (words: letters and digits, in lower
     case) have Jaccard similarity of `threshold` or more. Texts of one set are one node, whatever their number.
-    Candidates share a band of the signatures. All pairs of a bucket of at most `direct` sets are checked exactly. Of
+    Candidates share a band of the signatures, which are of the plain sets unless `counted` (see weight_of()). All pairs of a bucket of at most `direct` sets are checked exactly. Of
     a larger bucket, representatives are compared with all members in other components so far, round by round, until
     its remaining members are in one component: so no candidate link between components is lost. The first
     `per_round` are the bucket's foremost members. The members left are then dealt anew by their rare shingles, see
@@ -191,7 +191,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null text counts as empty; empty texts are one class. A text of fewer than five words is its one shingle. An
     empty table gives an empty result; repeated rows share their class.
     """
-    sk = common.stored(sketches(docs, id_col, text_col, bands, rows), "sketches")
+    sk = common.stored(sketches(docs, id_col, text_col, bands, rows, counted), "sketches")
     nodes = sk.groupBy("_g").agg(F.min("_i").alias("_i"), F.min("_bands").alias("_bands"))
     keys = nodes.select("_g", F.explode("_bands").alias("_key"))
     full = keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)

@@ -74,6 +74,16 @@ def test_near_against_brute_force(spark):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_near_when_repeats_differ(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(6):
+        base = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 200))
+        texts += [" ".join([base] * m) for m in (1, 10, 40)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == _brute(texts)
+
+
 def test_near_odd(odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     by = {r.doc_id: r for r in got}
