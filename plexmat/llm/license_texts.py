@@ -6,6 +6,8 @@ operator as a parameter.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
 Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -62,6 +64,34 @@ large and to the detriment of our heirs and successors. We intend this dedicatio
 software under copyright law. """ + _MIT_AS_IS.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") + "For more information, please refer to https://unlicense.org",
 }
 
+#: Ids of the full texts in license_files. A text alone does not tell if later versions may be chosen.
+FILES: dict[str, str] = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2-only", "GFDL-1.3": "GFDL-1.3-only", "GPL-1": "GPL-1.0-only",
+    "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(id, text) of the shipped files."""
+    return [(i, (Path(__file__).parent / "license_files" / f"{name}.txt").read_text(encoding="utf-8")) for name, i in FILES.items()]
+
+
+#: Lines before which, or after which, the terms end and the advice on how to apply them begins.
+ENDS = ("END OF TERMS AND CONDITIONS", "ADDENDUM: How to use this License for your documents")
+#: Postal addresses that copies of one text differ by.
+ADDRESSES = ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA")
+#: Title lines that a text may begin with, besides those made from its id.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License"),
+    "BSD-1-Clause": ("BSD 1-Clause License", "BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "Revised BSD License", "BSD License"),
+    "ISC": ("Internet Systems Consortium License",),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"),
+    "Zlib": ("The zlib/libpng License", "zlib/libpng License"),
+    "Unlicense": ("The Unlicense",),
+}
+
 #: Notices of one line that stand for a licence.
 NOTICES: dict[str, str] = {
     "Licensed under the Apache License, Version 2.0.": "Apache-2.0",

@@ -50,10 +50,31 @@ def digest(text: str) -> bytes:
     return hashlib.sha256(canonical(text).encode()).digest()
 
 
+def forms(license_id: str, text: str) -> set[str]:
+    """Canonical texts that a licence's text occurs in: with and without the advice after its terms, by postal address, and after a title line."""
+    whole = canonical(text)
+    out = {whole}
+    for end in map(canonical, license_texts.ENDS):
+        head, found, _ = whole.partition(end)
+        if found:
+            out |= {head.strip(), head + end}
+    first, *older = map(canonical, license_texts.ADDRESSES)
+    out |= {t.replace(first, a) for t in out for a in older}
+    titles = {*license_texts.TITLES.get(license_id, ()), license_id, f"{license_id} License", f"The {license_id} License", f"{license_id} License ({license_id})", f"The {license_id} License ({license_id})"}
+    return out | {f"{canonical(title)} {t}" for title in titles for t in out}
+
+
+def _table(texts: dict[str, str] | None, notices: dict[str, str] | None) -> dict[str, str]:
+    """Licence ids by canonical texts and notices."""
+    out = {canonical(t): i for t, i in (license_texts.NOTICES if notices is None else notices).items()}
+    for i, t in [*license_texts.TEXTS.items(), *license_texts.full_texts()] if texts is None else texts.items():
+        out |= dict.fromkeys(forms(i, t), i)
+    return out
+
+
 def known(texts: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> dict[bytes, str]:
-    """Licence ids by digest of their canonical texts and notices."""
-    out = {digest(t): i for t, i in (license_texts.NOTICES if notices is None else notices).items()}
-    return out | {digest(t): i for i, t in (license_texts.TEXTS if texts is None else texts).items()}
+    """Licence ids by digest of their canonical texts (see forms()) and notices."""
+    return {hashlib.sha256(t.encode()).digest(): i for t, i in _table(texts, notices).items()}
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
@@ -69,7 +90,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tex
     """
     spark = docs.sparkSession
     table = known(texts, notices)
-    lengths = {len(canonical(t).split()) for t in [*(license_texts.TEXTS if texts is None else texts).values(), *(license_texts.NOTICES if notices is None else notices)]}
+    lengths = {len(t.split()) for t in _table(texts, notices)}
     src = docs.select(F.col(id_col).alias("_i"), common.text_of(text_col).alias("_t"))
     shared = spark.sparkContext.broadcast((table, lengths))
 

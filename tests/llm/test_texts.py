@@ -1,5 +1,6 @@
 import hashlib
 import math
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -100,6 +101,20 @@ def test_licenses(odd, empty, spark):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
 
 
+def test_full_and_titled_licenses(spark):
+    files = Path(licenses.__file__).parent / "license_files"
+    t, by = license_texts.TEXTS, "\n\nCopyright (c) 2020 Somebody\n\n"
+    rows = [(f"MIT License{by}{t['MIT']}", "MIT"), (f"The MIT License (MIT){by}{t['MIT']}", "MIT"), (f"BSD 3-Clause License{by}{t['BSD-3-Clause']}", "BSD-3-Clause"), (f"ISC License{by}{t['ISC']}", "ISC")]
+    for name, i in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0-only"), ("GPL-3", "GPL-3.0-only"), ("LGPL-2.1", "LGPL-2.1-only"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("Artistic", "Artistic-1.0-Perl")):
+        rows.append(((files / f"{name}.txt").read_text(), i))
+    for name, i in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0-only")):
+        rows.append(((files / f"{name}.txt").read_text().split("END OF TERMS")[0], i))
+    rows.append(((files / "GPL-2.txt").read_text().replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301", "59 Temple Place, Suite 330, Boston, MA  02111-1307"), "GPL-2.0-only"))
+    rows.append((f"My License{by}{t['MIT']}", None))
+    df = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(rows)], "doc_id long, text string")
+    assert [r.license_id for r in licenses.scan(df).orderBy("doc_id").collect()] == [i for _, i in rows]
+
+
 @pytest.fixture(scope="module")
 def hf():
     from tokenizers import Tokenizer
