@@ -19,8 +19,8 @@ from plexmat.llm import common, shingles
 WINDOW = 1024
 #: Documents and tokens of a shard of the index: what one task holds at a time.
 SHARD_DOCS, SHARD_TOKENS = 2048, 4_000_000
-#: A seed asks for this many of its most telling tokens (by idf times frequency part).
-QUERY_TERMS = 24
+#: A token that more than this share of a shard's documents have is kept as a row over all of them.
+DENSE = 0.25
 K1, B = 1.2, 0.75
 END_ID = 0
 #: Words over which a tokenizer forgets all that it remembers.
@@ -215,22 +215,25 @@ class Shard:
         order = np.argsort(tok, kind="stable")
         self._doc, self._weight = doc[order], weight[order]
         self._start = np.searchsorted(tok[order], np.arange(65537))
-        self._tok, self._off, self._own = tok, off, weight
+        self._tok, self._off = tok, off
+        often = np.flatnonzero(np.diff(self._start) > DENSE * self.n)
+        self._row = np.full(65536, -1)
+        self._row[often] = np.arange(len(often))
+        self._dense = np.zeros((len(often), self.n), np.float32)
+        for i, t in enumerate(often.tolist()):
+            at = slice(self._start[t], self._start[t + 1])
+            self._dense[i, self._doc[at]] = self._weight[at]
         self.unused = np.ones(self.n, bool)
 
     def search(self, seed: int) -> np.ndarray:
-        """BM25 scores of all documents for the seed's most telling tokens that any other document has."""
-        a, b = self._off[seed], self._off[seed + 1]
-        t, w = self._tok[a:b], self._own[a:b]
-        shared = self._start[t.astype(np.int64) + 1] - self._start[t] > 1
-        t, w = t[shared], w[shared]
-        if len(t) > QUERY_TERMS:
-            t = t[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]]
-        lo, n = self._start[t], self._start[t.astype(np.int64) + 1] - self._start[t]
-        if not n.sum():
-            return np.zeros(self.n)
+        """BM25 scores of all documents for all of the seed's tokens."""
+        t = self._tok[self._off[seed] : self._off[seed + 1]].astype(np.int64)
+        row = self._row[t]
+        out = self._dense[row[row >= 0]].sum(axis=0).astype(np.float64)
+        t = t[row < 0]
+        lo, n = self._start[t], self._start[t + 1] - self._start[t]
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self._doc[at], self._weight[at], self.n)
+        return out + np.bincount(self._doc[at], self._weight[at], self.n)
 
 
 class Packer:

@@ -154,6 +154,17 @@ def test_packing_asks_for_near_documents():
     assert set(np.argsort(-shard.search(5))[:4].tolist()) == {4, 5, 6, 7}
 
 
+def test_packing_asks_for_all_tokens():
+    seed, idf = np.arange(1, 201), np.ones(65536)
+    idf[1:31] = 9.0
+    other = np.arange(300, 400)
+    ids = [np.append(x, 0).astype(np.uint16) for x in (seed, seed[:30], seed[30:], other, other)]
+    scores = packing.Shard(ids, idf, 100.0).search(0)
+    assert scores[2] > 0 and scores[3] == scores[4] == 0
+    size, tf = 171, 1
+    assert abs(scores[2] - 170 * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * size / 100.0))) < 1e-3
+
+
 def test_warc(spark):
     rows = [(1, "http://a.example/x", "<html lang='EN'><title>T &amp; t</title><script>var x='<p>';</script><p>One<br>two</p><a href='/'>l</a></html>"), (2, None, None), (None, "u", "plain")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
