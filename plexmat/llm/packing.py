@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -203,6 +204,60 @@ def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, n, total / max(n, 1)
 
 
+def _telling(ids: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's two rarest tokens, as their places in the order of rarity (65536: none)."""
+    tok, _, off = _sorted_tokens(ids)
+    at = np.append(place[tok], 65536)
+    some = off[1:] > off[:-1]
+    first, second = np.full(len(ids), 65536), np.full(len(ids), 65536)
+    if some.any():
+        first[some] = np.minimum.reduceat(at, off[:-1][some])[: some.sum()]
+        at[:-1][at[:-1] == np.repeat(first, np.diff(off))] = 65536
+        second[some] = np.minimum.reduceat(at, off[:-1][some])[: some.sum()]
+    return first, second
+
+
+def colocated(tokens: DataFrame, df: np.ndarray, n_parts: int) -> DataFrame:
+    """(_i, _ids) with documents of the whole table side by side that have their rarest tokens in common.
+
+    Of the tokens that several documents have, a document's rarest is its key, and the next one orders documents of one
+    key. Tokens are counted by key, so that partitions are equal ranges of keys; a key of over a quarter of a partition is
+    dealt by a hash of its rows. Depends on the rows alone, not on how they come. At most 65,537 counts reach the driver.
+    """
+    spark = tokens.sparkSession
+    rare = np.lexsort((np.arange(65536), np.where(df > 1, df, 1 << 62)))
+    place = np.empty(65536, np.int64)
+    place[rare] = np.arange(65536)
+    place[df <= 1] = 65536
+    shared = spark.sparkContext.broadcast(place)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.zeros(65537, np.int64)
+        for batch in batches:
+            for part in common.slices(batch, "_ids"):
+                ids = [np.frombuffer(x, np.uint16) for x in part.column("_ids").to_pylist()]
+                np.add.at(size, _telling(ids, shared.value)[0], [len(x) for x in ids])
+        at = np.flatnonzero(size)
+        yield pa.RecordBatch.from_pydict({"_k": pa.array(at, pa.int32()), "_v": pa.array(size[at], pa.int64())})
+
+    got = tokens.select("_ids").mapInArrow(count, "_k int, _v long").groupBy("_k").agg(F.sum("_v").alias("_v")).toPandas()
+    size = np.zeros(65537)
+    size[got["_k"].to_numpy(int)] = got["_v"].to_numpy(float)
+    each = max(size.sum(), 1.0) / n_parts
+    known = spark.sparkContext.broadcast((np.cumsum(size) - size, np.where(size > each / 4, size, 0.0)))
+
+    def deal(part: pa.RecordBatch) -> dict:
+        before, hot = known.value
+        first, second = _telling([np.frombuffer(x, np.uint16) for x in part.column("_ids").to_pylist()], shared.value)
+        share = (part.column("_h").to_numpy().view(np.uint64) >> np.uint64(11)) * 2.0**-53
+        to = np.clip((before[first] + hot[first] * share) / each, 0, n_parts - 1).astype(np.int32)
+        return {"_i": part.column("_i"), "_ids": part.column("_ids"), "_h": part.column("_h"), "_p": pa.array(to), "_k1": pa.array(first.astype(np.int32)), "_k2": pa.array(second.astype(np.int32))}
+
+    named = tokens.select("_i", "_ids", F.xxhash64("_i", "_ids").alias("_h"))
+    dealt = common.map_text(named, deal, "_i long, _ids binary, _h long, _p int, _k1 int, _k2 int", "_ids")
+    return dealt.repartitionById(n_parts, F.col("_p")).sortWithinPartitions("_k1", "_k2", "_i", "_h").select("_i", "_ids")
+
+
 class Shard:
     """Documents with an inverted index of their tokens' BM25 weights; search() finds the best unused ones."""
 
@@ -291,11 +346,12 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     The tokens are written once to the shared folder; document frequencies and the mean length are counted over all
-    of them. A shard is a run of consecutive documents of a partition, bounded by documents and tokens; it has an
-    inverted index with BM25 weights from those counts. A window's seed is the document that it starts with; the
+    of them. The documents of the whole table are then dealt by their rarest tokens, see colocated(). A shard is a run of
+    consecutive documents of that order, bounded by documents and tokens; it has an inverted index with BM25 weights
+    from those counts. Neighbours in other shards are not found; the README gives the measured recall. A window's seed is the document that it starts with; the
     shard's unused documents of the highest score for the seed fill it, then those in order. A document that
     overflows a window is cut and seeds the next one, so windows have no gaps, and one window of each partition stays
-    short. Nothing is shuffled but the counts.
+    short. The tokens are shuffled once.
 
     Null text counts as empty: its piece is the closing id alone. Repeated rows are packed each. Null ids stay null. An
     empty table gives no pieces. Ties go to the earlier document.
@@ -322,7 +378,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
             packer.pack(names, ids, Shard(ids, idf, avg))
             yield packer.take()
 
-    return tokens.mapInArrow(run, PIECES)
+    parts = max(1, math.ceil(n / (4 * shard_docs)), math.ceil(n * mean / (4 * shard_tokens)))
+    return colocated(tokens, df, parts).mapInArrow(run, PIECES)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

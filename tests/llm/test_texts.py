@@ -165,6 +165,14 @@ def test_packing_asks_for_all_tokens():
     assert abs(scores[2] - 170 * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * size / 100.0))) < 1e-3
 
 
+def test_packing_joins_documents_far_apart(spark):
+    rows = [(i, " ".join(f"{i % 40}zq{i % 40}x{j}" for j in range(6)) + " and some of the words that all have") for i in range(200)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id"), shard_docs=20, window=4096).orderBy("sequence_id", "offset").collect()
+    order = list(dict.fromkeys(r.doc_id for r in got))
+    assert sorted(order) == list(range(200))
+    assert sum(a % 40 == b % 40 for a, b in zip(order, order[1:])) > 130
+
+
 def test_warc(spark):
     rows = [(1, "http://a.example/x", "<html lang='EN'><title>T &amp; t</title><script>var x='<p>';</script><p>One<br>two</p><a href='/'>l</a></html>"), (2, None, None), (None, "u", "plain")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
