@@ -34,16 +34,16 @@ def round_unit_value(x: float, units: int = 10, method: str = "ceil") -> int:
     return high if method == "ceil" or (method == "nearest" and (low == 0 or high - x < x - low)) else low
 
 
-def natural_key(col: Column, width: int = 20) -> Column:
-    """A string that sorts case-insensitively with runs of digits by their number (of at most `width` digits)."""
-    lower = F.lower(col)
-    parts = F.split(F.regexp_replace(lower, r"(\d+)", "\u0001$1\u0001"), "\u0001")
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), width, "0")).otherwise(p)), "")
+def natural_key(col: Column) -> Column:
+    """A string that sorts case-insensitively with runs of digits by their number, of any length: each run comes after a mark that sorts before all text, with its length before it."""
+    parts = F.regexp_extract_all(F.lower(col), F.lit("([0-9]+|[^0-9]+)"), 1)
+    number = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lit("\u0001"), F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(p)), "")
 
 
 def natural_sort(items: list[str]) -> list[str]:
     """A list in natural order."""
-    return sorted(items, key=lambda s: [(0, int(p), "") if p.isdigit() else (1, 0, p.lower()) for p in re.split(r"(\d+)", s)])
+    return sorted(items, key=lambda s: [(0, int(p), "") if re.fullmatch("[0-9]+", p) else (1, 0, p.lower()) for p in re.split("([0-9]+)", s)])
 
 
 def run_time(start: float, end: float) -> tuple[float, str]:
@@ -64,6 +64,14 @@ def correlation_sign(word: str) -> int:
     raise ValueError(f"no such correlation: {word}")
 
 
+def nan_matrix(spark: SparkSession, n_cells: int, n_features: int) -> DataFrame:
+    """(cell_id, feat_id, value) of a matrix without any known value: NaN everywhere, cells and features numbered from 0."""
+    if n_cells < 0 or n_features < 0:
+        raise ValueError("a matrix has no negative size")
+    i = F.col("id")
+    return spark.range(n_cells * n_features).select(F.floor(i / n_features).alias("cell_id"), (i % n_features).alias("feat_id"), F.lit(float("nan")).alias("value"))
+
+
 def percentage(n: Column, total: Column) -> Column:
     return F.try_divide(n * 100.0, total)
 

@@ -8,52 +8,79 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexmat.functions.rank import average_rank
-
 _KEY = {0: "cell_id", 1: "feat_id"}
 
 
 def moments(values: DataFrame, axis: int | None) -> DataFrame:
-    """Mean and population deviation for each cell (axis 0), each feature (1), or over all values (None)."""
+    """Mean and population deviation for each cell (axis 0), each feature (1), or over all values (None) of a table without absent values."""
     if axis not in (0, 1, None):
         raise ValueError(f"no such axis: {axis}")
     stats = [F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n")]
     return values.agg(*stats) if axis is None else values.groupBy(_KEY[axis]).agg(*stats)
 
 
+def sparse_moments(values: DataFrame, axis: int | None, cells: DataFrame, features: DataFrame) -> DataFrame:
+    """moments() where values that are absent are zero: of every cell (axis 0) or feature (1), or of the whole matrix (None).
+
+    The deviation of the values that are there is merged with that of the zeros, so large means lose no digits.
+    """
+    if axis not in (0, 1, None):
+        raise ValueError(f"no such axis: {axis}")
+    ids, other = (cells.select("cell_id"), features) if axis == 0 else (features.select("feat_id"), cells)
+    stats = [F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.count("value").alias("k")]
+    total = other.count() * (features.count() if axis is None else 1)
+    found = values.agg(*stats) if axis is None else ids.join(values.groupBy(_KEY[axis]).agg(*stats), _KEY[axis], "left")
+    n, k, m = F.lit(float(total)), F.coalesce("k", F.lit(0)), F.coalesce("m", F.lit(0.0))
+    mean = F.try_divide(k * m, n)
+    var = F.try_divide(k * F.coalesce("v", F.lit(0.0)) + k * m * m * (n - k) / F.nullif(n, F.lit(0.0)), n)
+    return found.select(*([] if axis is None else [_KEY[axis]]), mean.alias("mean"), F.sqrt(var).alias("std"), F.lit(total).cast("long").alias("n"))
+
+
 def sparse_feature_moments(values: DataFrame, features: DataFrame, n_cells: int) -> DataFrame:
-    """Mean and population deviation of each feature where values that are absent are zero."""
-    sums = values.groupBy("feat_id").agg(F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"))
-    mean = F.coalesce("s1", F.lit(0.0)) / n_cells
-    var = F.coalesce("s2", F.lit(0.0)) / n_cells - mean * mean
-    return features.select("feat_id").join(sums, "feat_id", "left").select("feat_id", mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
+    """Mean and population deviation of each feature of n_cells cells where values that are absent are zero."""
+    cells = features.sparkSession.range(n_cells).withColumnRenamed("id", "cell_id")
+    return sparse_moments(values, 1, cells, features).drop("n")
+
+
+def _ranked(values: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(feat_id, cluster, value, c, t, r): how often each value of a feature is in a cluster and in all, and its average rank.
+
+    Equal values of a feature and cluster are counted before anything is shuffled or ranked, so that repeated values cost one row.
+    """
+    c = values.join(clusters.select("cell_id", "cluster"), "cell_id").groupBy("feat_id", "value", "cluster").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("feat_id").orderBy("value"))
+    c = c.select("*", F.sum("c").over(Window.partitionBy("feat_id", "value")).alias("t"), upto.alias("u"))
+    return c.select("feat_id", "cluster", "value", "c", "t", (F.col("u") - (F.col("t") - 1) / 2).alias("r"))
 
 
 def kruskal(values: DataFrame, clusters: DataFrame, n_groups: int | None = None) -> DataFrame:
     """(feat_id, h, pval, n_groups) of values, with clusters (cell_id, cluster); a feature of equal values has h 0 and p 1.
 
-    Every cell has a value of every feature here; see kruskal_sparse() for tables without zeros.
+    Every cell has a value of every feature here; see kruskal_sparse() for tables without zeros. With n_groups, a feature that
+    lacks values of one of so many clusters counts as one of equal values.
     """
-    df = values.join(clusters.select("cell_id", "cluster"), "cell_id")
-    ranked = df.select("feat_id", "cluster", average_rank(["feat_id"], "value").alias("r"), F.count(F.lit(1)).over(Window.partitionBy("feat_id", "value")).alias("t"))
-    groups = ranked.groupBy("feat_id", "cluster").agg(F.sum("r").alias("rs"), F.count(F.lit(1)).cast("double").alias("n"), F.sum((F.col("t") * F.col("t") - 1).cast("double")).alias("ties"))
+    ranked = _ranked(values, clusters)
+    groups = ranked.groupBy("feat_id", "cluster").agg(F.sum(F.col("c") * F.col("r")).alias("rs"), F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("t") * F.col("t") - 1)).alias("ties"))
     return _from_groups(groups, n_groups)
 
 
 def kruskal_sparse(values: DataFrame, clusters: DataFrame, features: DataFrame | None = None) -> DataFrame:
-    """kruskal() of values that are zero where absent and never negative: only the others are ranked.
+    """kruskal() of values that are zero where absent: only the others are ranked.
 
-    The z zeros of a feature rank first and share the rank (z + 1) / 2; others rank z higher than among themselves.
+    Of a feature with `low` values below zero, the z zeros share the rank low + (z + 1) / 2, and positive values rank z higher
+    than among the values that aren't zero.
     """
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("size"))
-    own = values.where(F.col("value") != 0).join(clusters.select("cell_id", "cluster"), "cell_id")
-    ranked = own.select("feat_id", "cluster", average_rank(["feat_id"], "value").alias("r"), F.count(F.lit(1)).over(Window.partitionBy("feat_id", "value")).alias("t"))
-    found = ranked.groupBy("feat_id", "cluster").agg(F.sum("r").alias("rs"), F.count(F.lit(1)).cast("double").alias("nnz"), F.sum((F.col("t") * F.col("t") - 1).cast("double")).alias("ties"))
+    ranked = _ranked(values.where(F.col("value") != 0), clusters)
+    high = F.col("value") > 0
+    found = ranked.groupBy("feat_id", "cluster").agg(
+        F.sum(F.col("c") * F.col("r")).alias("rs"), F.sum("c").alias("nnz"), F.sum(F.when(high, F.col("c")).otherwise(0.0)).alias("pos"), F.sum(F.col("c") * (F.col("t") * F.col("t") - 1)).alias("ties")
+    )
     ids = (values if features is None else features).select("feat_id").distinct()
-    full = ids.join(F.broadcast(sizes)).join(found, ["feat_id", "cluster"], "left").fillna(0.0, ["rs", "nnz", "ties"])
-    zeros = F.sum(F.col("size") - F.col("nnz")).over(Window.partitionBy("feat_id"))
-    full = full.withColumn("z", zeros)
-    rs = F.col("rs") + F.col("nnz") * F.col("z") + (F.col("size") - F.col("nnz")) * (F.col("z") + 1) / 2
+    full = ids.join(F.broadcast(sizes)).join(found, ["feat_id", "cluster"], "left").fillna(0.0, ["rs", "nnz", "pos", "ties"])
+    feature = Window.partitionBy("feat_id")
+    full = full.withColumn("z", F.sum(F.col("size") - F.col("nnz")).over(feature)).withColumn("low", F.sum(F.col("nnz") - F.col("pos")).over(feature))
+    rs = F.col("rs") + F.col("pos") * F.col("z") + (F.col("size") - F.col("nnz")) * (F.col("low") + (F.col("z") + 1) / 2)
     ties = F.col("ties") + (F.col("size") - F.col("nnz")) * (F.col("z") * F.col("z") - 1)
     return _from_groups(full.select("feat_id", "cluster", rs.alias("rs"), F.col("size").alias("n"), ties.alias("ties")), None)
 

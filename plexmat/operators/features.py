@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from plexmat.functions import stats
 from plexmat.sources.modality import Modality
+from plexmat.sources.shared import stored
 
 BINS = 10
 
 
-def kruskal_features(m: Modality, sparse: bool = False) -> DataFrame:
+def kruskal_features(m: Modality) -> DataFrame:
     """(feat_id, h, pval) of every feature of m across its cells' clusters; untested ones have h 0 and p 1."""
     stats.require_groups(m.cells)
     clusters = m.cells.select("cell_id", "cluster")
-    found = stats.kruskal_sparse(m.values, clusters, m.features) if sparse else stats.kruskal(m.values, clusters)
+    found = stats.kruskal_sparse(m.values, clusters, m.features) if m.sparse else stats.kruskal(m.values, clusters)
     return m.features.select("feat_id").join(found, "feat_id", "left").select("feat_id", F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("pval", F.lit(1.0)).alias("pval"))
 
 
@@ -30,9 +31,9 @@ def decile_features(m: Modality, measure: str = "vmr", percentile: float = 30) -
     """
     if measure not in ("vmr", "sd", "std"):
         raise ValueError(f"no such measure: {measure}")
-    s = stats.moments(m.values, axis=1)
+    s = m.moments(1)
     spread = (F.col("std") * F.col("std") + 1) / (F.col("mean") + 1) if measure == "vmr" else F.col("std")
-    s = s.select("feat_id", "mean", spread.alias("spread"))
+    s = stored(s.select("feat_id", "mean", spread.alias("spread")), "spread")
     edges = s.agg(F.percentile("mean", F.array(*(F.lit(i / BINS) for i in range(BINS + 1)))).alias("edges"))
     inner = F.slice("edges", 2, BINS - 1)
     checked = F.when(F.size(F.array_distinct("edges")) < BINS + 1, F.raise_error(F.lit("the deciles of the means are not distinct"))).otherwise(F.size(F.filter(inner, lambda e: e < F.col("mean"))))
@@ -50,19 +51,19 @@ def common_features(winners: list[DataFrame]) -> DataFrame:
     """Features that are among all winners; none is an error."""
     if isinstance(winners, DataFrame):
         raise ValueError("a list of modalities is needed")
-    out = functools.reduce(DataFrame.intersect, [w.select("feat_id") for w in winners])
+    out = stored(functools.reduce(DataFrame.intersect, [w.select("feat_id") for w in winners]), "common")
     if out.limit(1).count() == 0:
         raise RuntimeError("no feature is variable in all modalities")
     return out
 
 
-def find_common_variable(modalities: list[Modality], method: str = "kruskal", n_markers: int = 8000, percentile: float = 30, sparse: bool = False) -> DataFrame:
+def find_common_variable(modalities: list[Modality], method: str = "kruskal", n_markers: int = 8000, percentile: float = 30) -> DataFrame:
     """(feat_id) of the features that are variable in every modality, by 'kruskal', 'vmr' or 'sd'."""
     if method == "kruskal":
         least = min(m.features.count() for m in modalities)
         if n_markers > least:
             warnings.warn(f"there are only {least} features", stacklevel=2)
-        return common_features([top_features(kruskal_features(m, sparse), min(n_markers, least)) for m in modalities])
+        return common_features([top_features(kruskal_features(m), min(n_markers, least)) for m in modalities])
     if method in ("vmr", "sd"):
         return common_features([decile_features(m, method, percentile).where("variable = 1") for m in modalities])
     raise ValueError(f"no such method: {method}")

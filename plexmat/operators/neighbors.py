@@ -1,22 +1,35 @@
-"""Nearest neighbours between modalities: exact search, capped in-degrees, mutual neighbours, and kernel weights."""
+"""Nearest neighbours between modalities: exact and bucketed search, capped in-degrees, mutual neighbours, and kernel weights."""
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.functions.rank import rank_zscores
 from plexmat.functions.scalar import round_unit_value
+from plexmat.sources.modality import Modality, same_ids
+from plexmat.sources.shared import Scratch, small, stored
 
 #: Bytes of source vectors up to which they are broadcast whole; more are searched block by block.
 BROADCAST_BYTES = 256 << 20
-#: Rows of a block of sources.
-BLOCK = 4096
+#: Rows of a block of sources, and of targets that meet it in one task.
+BLOCK, TARGETS = 4096, 16384
+#: Bytes of a dense block that a kernel makes of source rows, and targets that it takes at a time.
+DENSE_BYTES, AT_ONCE = 32 << 20, 256
+#: Whether a metric's highest scores come first.
+METRICS = {"dot": True, "euclidean": False, "angular": False, "manhattan": False, "hamming": False}
+#: Lists of the bucketed search at most.
+LISTS = 4096
+#: Features up to which their places are broadcast.
+BROADCAST_ROWS = 500_000
+EDGES = "target_id long, source_id long, rn int, score double"
 
 
 def vectors(scores: DataFrame, value: str = "z") -> DataFrame:
@@ -25,78 +38,252 @@ def vectors(scores: DataFrame, value: str = "z") -> DataFrame:
     return got.where(F.col("_n") == F.col("_m")).select("cell_id", F.transform("_v", lambda x: x[value]).alias("vec"))
 
 
+def sparse_vectors(scores: DataFrame, features: DataFrame, value: str, base: str | None = None) -> DataFrame:
+    """(cell_id, idx, vec, base, width) from long scores: the places in the order of feature ids that a cell has values at, these, and
+    the value that all other places have (a column that is the same in all rows of a cell; by default 0)."""
+    ids = stored(features.select("feat_id").withColumn("idx", (F.row_number().over(Window.orderBy("feat_id")) - 1).cast("int")), "places")
+    width = ids.count()
+    placed = scores.where(F.col(value).isNotNull()).join(small(ids, BROADCAST_ROWS), "feat_id")
+    rest = F.first(base) if base else F.lit(0.0)
+    got = placed.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.col(value).alias("v")))).alias("_v"), rest.alias("base"))
+    return got.select("cell_id", F.transform("_v", lambda x: x["idx"]).alias("idx"), F.transform("_v", lambda x: x["v"]).alias("vec"), "base", F.lit(width).alias("width"))
+
+
+def score_vectors(m: Modality | DataFrame, sign: int = 1) -> DataFrame:
+    """The cells' rank z-scores as vectors; of a sparse modality only what its zeros don't share. A table of long values is a dense one."""
+    if isinstance(m, DataFrame):
+        return vectors(rank_zscores(m, sign))
+    return sparse_vectors(m.zscores(sign), m.features, "z", "zero") if m.sparse else vectors(m.zscores(sign))
+
+
+def value_vectors(m: Modality) -> DataFrame:
+    return sparse_vectors(m.values.where(F.col("value") != 0), m.features, "value") if m.sparse else vectors(m.values, "value")
+
+
 def check_features(a: DataFrame, b: DataFrame) -> None:
     """Both tables (feat_id) must have the same features."""
-    if a.select("feat_id").exceptAll(b.select("feat_id")).limit(1).count() or b.select("feat_id").exceptAll(a.select("feat_id")).limit(1).count():
-        raise ValueError("the modalities' features differ")
+    same_ids(a, b, "feat_id")
+
+
+@dataclass
+class Cells:
+    """Vectors of cells in order of id, as one matrix or by the places that differ from the row's base."""
+
+    ids: np.ndarray
+    flat: np.ndarray
+    width: int
+    off: np.ndarray | None = None
+    idx: np.ndarray | None = None
+    base: np.ndarray | None = None
+
+    @staticmethod
+    def of(t: pa.Table | pa.RecordBatch, key: str) -> Cells:
+        t = t if isinstance(t, pa.Table) else pa.Table.from_batches([t])
+        t = t.sort_by(key).combine_chunks()
+        n = t.num_rows
+        ids = t[key].to_numpy().astype(np.int64)
+        lists = {c: (t[c].chunk(0) if t[c].num_chunks else None) for c in ("vec", "idx") if c in t.column_names}
+        flat = lists["vec"].flatten().to_numpy(zero_copy_only=False).astype(np.float64) if n else np.zeros(0)
+        if "idx" not in lists:
+            width = len(flat) // max(n, 1)
+            if n and len(np.unique(np.diff(lists["vec"].offsets.to_numpy()))) != 1:
+                raise ValueError("cells have different numbers of values; a modality with absent values is sparse")
+            return Cells(ids, flat, width)
+        size = np.diff(lists["vec"].offsets.to_numpy()) if n else np.zeros(0, np.int64)
+        return Cells(ids, flat, int(t["width"][0].as_py()) if n else 0, np.concatenate(([0], np.cumsum(size))), lists["idx"].flatten().to_numpy(zero_copy_only=False) if n else np.zeros(0, np.int64), t["base"].to_numpy())
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        """Cells a to b as a dense matrix."""
+        if self.off is None:
+            return self.flat.reshape(len(self.ids), self.width)[a:b]
+        out = np.repeat(self.base[a:b, None], self.width, axis=1)
+        lo, hi = self.off[a], self.off[min(b, len(self.ids))]
+        out[np.repeat(np.arange(len(out)), np.diff(self.off[a : b + 1])), self.idx[lo:hi]] = self.flat[lo:hi]
+        return out
+
+
+def _scores(metric: str, t: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Scores of rows of t by rows of m, rounded to nine places."""
+    if metric == "manhattan":
+        out = np.stack([np.abs(m - x).sum(axis=1) for x in t])
+    elif metric == "hamming":
+        out = np.stack([(m != x).sum(axis=1).astype(np.float64) for x in t])
+    else:
+        out = t @ m.T
+        if metric == "euclidean":
+            out = np.sqrt(np.maximum((t * t).sum(1)[:, None] + (m * m).sum(1) - 2 * out, 0))
+        elif metric == "angular":
+            size = np.sqrt((t * t).sum(1)[:, None] * (m * m).sum(1))
+            out = np.sqrt(np.maximum(2 - 2 * np.divide(out, size, out=np.zeros_like(out), where=size > 0), 0))
+    return np.round(out, 9)
+
+
+def _best(metric: str, k: int) -> Callable[[Cells, Cells], pa.RecordBatch]:
+    """A function of (targets, sources) that gives each target's k best sources; ties go to the smaller source id."""
+    sign = -1.0 if METRICS[metric] else 1.0
+
+    def best(t: Cells, s: Cells) -> pa.RecordBatch:
+        if len(t.ids) and len(s.ids) and t.width != s.width:
+            raise ValueError(f"vectors of {t.width} and of {s.width} values")
+        step = max(1, min(BLOCK, DENSE_BYTES // (8 * max(s.width, 1))))
+        out: list[tuple[np.ndarray, ...]] = []
+        for i in range(0, len(t.ids), AT_ONCE):
+            rows = t.rows(i, i + AT_ONCE)
+            held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            most = np.full((len(rows), 1), np.inf)
+            for a in range(0, len(s.ids), step):
+                key = sign * _scores(metric, rows, s.rows(a, a + step))
+                n = min(k, key.shape[1])
+                r, c = np.nonzero(key <= np.minimum(most, np.partition(key, n - 1, axis=1)[:, n - 1 : n]))
+                r, ids, key = (np.concatenate(x) for x in zip(held, (r, s.ids[a + c], key[r, c])))
+                order = np.lexsort((ids, key, r))
+                r, ids, key = r[order], ids[order], key[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                held = tuple(x[place < k] for x in (r, ids, key))
+                full = place == k - 1
+                most[r[full], 0] = key[full]
+            if len(held[0]):
+                out.append((t.ids[i + held[0]], held[1], np.arange(len(held[0])) - np.searchsorted(held[0], held[0]) + 1, sign * held[2]))
+        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0)] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(d)) for x, d in zip(cols, (np.int64, np.int64, np.int32, np.float64))], ["target_id", "source_id", "rn", "score"])
+
+    return best
+
+
+def _size(df: DataFrame) -> tuple[int, int]:
+    """Rows of vectors, and their bytes."""
+    per = F.size("vec") * (12 if "idx" in df.columns else 8) + 8
+    n, size = df.select(F.count(F.lit(1)), F.sum(per.cast("long"))).first()
+    return n or 0, size or 0
+
+
+def _named(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn("cell_id", F.col("cell_id").cast("long")).withColumnRenamed("cell_id", name)
 
 
 def top_k(targets: DataFrame, sources: DataFrame, k: int, metric: str = "dot", broadcast_bytes: int = BROADCAST_BYTES, block: int = BLOCK) -> DataFrame:
-    """(target_id, source_id, rn, score) of each target's k best sources, exactly; vectors of both in `vec`.
+    """(target_id, source_id, rn, score) of each target's k best sources, exactly; vectors of both as of vectors() or sparse_vectors().
 
-    metric 'dot': highest product first; 'euclidean': smallest distance first (the score is the distance). Scores are rounded
-    to nine places, ties go to the smaller source id; k is clipped to the number of sources. The sources are cut into
-    blocks of rows. While all fit the byte bound, each task of targets scans them from a broadcast; else each (range of targets,
-    block) pair is a task of its own, and the best of the blocks are merged by rank. Either way every product is a matrix product.
+    metric 'dot': highest product first; 'euclidean', 'angular' (the square root of 2 - 2 cos), 'manhattan' and 'hamming' (places
+    that differ): smallest distance first. Scores are rounded to nine places, ties go to the smaller source id; k is
+    clipped to the number of sources. While all sources fit the byte bound, each task of targets scans them from a
+    broadcast; else blocks of both meet in a task for each pair, and the best of the blocks are merged by rank. Either
+    way products are matrix products over blocks of bounded bytes.
     """
-    if metric not in ("dot", "euclidean"):
+    if metric not in METRICS:
         raise ValueError(f"no such metric: {metric}")
-    n, width = sources.select(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    n, width = n or 0, width or 0
+    n, size = _size(sources)
     k = min(k, n)
-    schema = "target_id long, source_id long, rn int, score double"
     if k < 1:
-        return targets.sparkSession.createDataFrame([], schema)
-    t = targets.select(F.col("cell_id").cast("long").alias("target_id"), "vec")
-    s = sources.select(F.col("cell_id").cast("long").alias("source_id"), "vec")
-    best = _best(metric, k)
-    if n * width * 8 <= broadcast_bytes:
-        rows = s.orderBy("source_id").toPandas()
-        shared = targets.sparkSession.sparkContext.broadcast((rows["source_id"].to_numpy(np.int64), np.array(rows["vec"].tolist(), np.float64).reshape(n, width)))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, m = shared.value
+        return targets.sparkSession.createDataFrame([], EDGES)
+    t, s, best = _named(targets, "target_id"), _named(sources, "source_id"), _best(metric, k)
+    if size <= broadcast_bytes:
+        shared = targets.sparkSession.sparkContext.broadcast(Cells.of(s.toArrow(), "source_id"))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i in range(0, len(b), 256):
-                    yield best(b.iloc[i : i + 256], ids, m)
-
-        return t.mapInPandas(scan, schema)
-    blocks = max(1, math.ceil(n / block))
-    parts = max(1, math.ceil(blocks**0.5))
-    s = s.withColumn("_b", F.pmod(F.xxhash64("source_id"), F.lit(blocks))).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    t = t.withColumn("_p", F.pmod(F.xxhash64("target_id"), F.lit(parts)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"target_id": [], "source_id": [], "rn": [], "score": []})
-        b = b.sort_values("source_id")
-        ids, m = b["source_id"].to_numpy(np.int64), np.array(b["vec"].tolist(), np.float64)
-        return pd.concat([best(a.iloc[i : i + 256], ids, m) for i in range(0, len(a), 256)])
-
-    found = t.groupBy("_p", "_b").cogroup(s.groupBy("_p", "_b")).applyInPandas(pair, schema)
-    order = F.col("score").desc() if metric == "dot" else F.col("score")
+                yield best(Cells.of(b, "target_id"), shared.value)
+
+        return t.mapInArrow(scan, EDGES)
+    return _by_blocks(t.withColumn("_list", F.lit(0)), s.withColumn("_list", F.lit(0)), k, metric, block)
+
+
+def _by_blocks(t: DataFrame, s: DataFrame, k: int, metric: str, block: int) -> DataFrame:
+    """top_k() of targets and sources that share a _list. A list's sources are cut into blocks and its targets into slices by a
+    hash of their ids, as its counts ask for, so that a task holds one block and one slice however large a list is."""
+    sizes = t.groupBy("_list").agg(F.count(F.lit(1)).alias("_t")).join(s.groupBy("_list").agg(F.count(F.lit(1)).alias("_s")), "_list")
+    cuts = F.broadcast(stored(sizes.select(F.col("_list").alias("_l"), F.ceil(F.col("_s") / block).alias("_blocks"), F.ceil(F.col("_t") / TARGETS).alias("_slices")), "lists"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    s = s.join(cuts, F.col("_list") == F.col("_l")).withColumn("_block", F.pmod(F.xxhash64("source_id"), "_blocks")).withColumn("_slice", upto("_slices")).drop("_l", "_blocks", "_slices")
+    t = t.join(cuts, F.col("_list") == F.col("_l")).withColumn("_slice", F.pmod(F.xxhash64("target_id"), "_slices")).withColumn("_block", upto("_blocks")).drop("_l", "_blocks", "_slices")
+    best, key = _best(metric, k), ["_list", "_block", "_slice"]
+
+    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([best(Cells.of(a, "target_id"), Cells.of(b, "source_id"))])
+
+    found = t.groupBy(*key).cogroup(s.groupBy(*key)).applyInArrow(pair, EDGES)
+    order = F.col("score").desc() if METRICS[metric] else F.col("score")
     return found.withColumn("rn", F.row_number().over(Window.partitionBy("target_id").orderBy(order, "source_id"))).where(F.col("rn") <= k)
 
 
-def _best(metric: str, k: int):
-    def best(targets: pd.DataFrame, ids: np.ndarray, m: np.ndarray) -> pd.DataFrame:
-        t = np.array(targets["vec"].tolist(), np.float64).reshape(len(targets), -1)
-        if metric == "dot":
-            score = np.round(t @ m.T, 9)
-            key = -score
-        else:
-            score = key = np.round(np.sqrt(np.maximum((t * t).sum(1)[:, None] + (m * m).sum(1) - 2 * t @ m.T, 0)), 9)
-        n = min(k, len(ids))
-        order = np.argsort(key, axis=1, kind="stable")[:, :n]  # sources are in order of id, so ties are too
-        rows = np.arange(len(t))[:, None]
-        return pd.DataFrame({"target_id": np.repeat(targets["target_id"].to_numpy(np.int64), n), "source_id": ids[order].ravel(), "rn": np.tile(np.arange(1, n + 1, dtype=np.int32), len(t)), "score": score[rows, order].ravel()})
+def bucketed_top_k(targets: DataFrame, sources: DataFrame, k: int, metric: str = "dot", lists: int | None = None, probes: int | None = None, rounds: int = 2, seed: int = 23, block: int = BLOCK) -> DataFrame:
+    """top_k() among the sources of the `probes` lists nearest to each target, with exact scores: approximate, for many sources.
 
-    return best
+    The lists' centres are source vectors picked by a seeded hash of their ids and moved `rounds` times to the mean of
+    their members (by default as many lists as the square root of the sources, LISTS at most, and an eighth of them is
+    probed). Every source is in the list of its nearest centre. More probes find more; with all lists it is exact. A target
+    that finds fewer than k sources in its lists is searched exactly.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"no such metric: {metric}")
+    n = sources.count()
+    k, lists = min(k, n), min(lists or math.ceil(n**0.5), LISTS, max(n, 1))
+    if k < 1:
+        return targets.sparkSession.createDataFrame([], EDGES)
+    probes = min(probes or math.ceil(lists / 8), lists)
+    t, s = _named(targets, "target_id"), _named(sources, "source_id")
+    spark = targets.sparkSession
+    first = Cells.of(s.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("source_id").cast("string")).cast("binary"))).limit(lists).toArrow(), "source_id")
+    centres = Cells(np.arange(lists), first.rows(0, lists).ravel().copy(), first.width)
+    near = lambda shared, m: _best("euclidean", m)
+
+    def moved(shared) -> Cells:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, count = np.zeros((lists, shared.value.width)), np.zeros(lists)
+            for b in batches:
+                own = Cells.of(b, "source_id")
+                to = near(shared, 1)(own, shared.value).column("source_id").to_numpy()
+                for i in range(0, len(own.ids), AT_ONCE):
+                    np.add.at(total, to[i : i + AT_ONCE], own.rows(i, i + AT_ONCE))
+                count += np.bincount(to, minlength=lists)
+            some = np.flatnonzero(count)
+            yield pa.RecordBatch.from_pydict({"_list": pa.array(some, pa.int64()), "_n": pa.array(count[some]), "_v": pa.array([total[i].tobytes() for i in some], pa.binary())})
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, tuple[float, np.ndarray]] = {}
+            for b in batches:
+                for i, c, v in zip(*(b.column(x).to_pylist() for x in ("_list", "_n", "_v"))):
+                    had = held.get(i, (0.0, 0.0))
+                    held[i] = (had[0] + c, had[1] + np.frombuffer(v))
+            yield pa.RecordBatch.from_pydict({"_list": pa.array(list(held), pa.int64()), "_n": pa.array([c for c, _ in held.values()]), "_v": pa.array([v.tobytes() for _, v in held.values()], pa.binary())})
+
+        kind = "_list long, _n double, _v binary"
+        out = shared.value.rows(0, lists).copy()
+        for r in s.mapInArrow(sums, kind).repartition("_list").mapInArrow(add, kind).collect():
+            out[r._list] = np.frombuffer(r._v) / r._n
+        return Cells(np.arange(lists), out.ravel(), shared.value.width)
+
+    for _ in range(rounds):
+        centres = moved(spark.sparkContext.broadcast(centres))
+    shared = spark.sparkContext.broadcast(centres)
+
+    def listed(df: DataFrame, key: str, m: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = near(shared, m)(Cells.of(b, key), shared.value)
+                yield pa.RecordBatch.from_arrays([got.column("target_id"), got.column("source_id")], [f"_{key}", "_list"])
 
+        to = df.mapInArrow(run, f"_{key} long, _list long")
+        return df.join(to, F.col(key) == F.col(f"_{key}")).drop(f"_{key}")
 
-def spearman_knn(targets: DataFrame, sources: DataFrame, k: int = 20, sign: int = 1) -> DataFrame:
-    """Each target cell's k source cells of the highest (sign 1) or lowest (-1) rank correlation; long values of both."""
-    return top_k(vectors(rank_zscores(targets, sign)), vectors(rank_zscores(sources)), k)
+    found = stored(_by_blocks(listed(t, "target_id", probes), listed(s, "source_id", 1), k, metric, block), "near")
+    done = found.where(F.col("rn") == k).select("target_id")
+    short = stored(t.join(done, "target_id", "left_anti").withColumnRenamed("target_id", "cell_id"), "short")
+    if not short.limit(1).count():
+        return found
+    return found.join(done, "target_id", "left_semi").unionByName(top_k(short, sources, k, metric, block=block))
+
+
+def spearman_knn(targets: DataFrame | Modality, sources: DataFrame | Modality, k: int = 20, sign: int = 1, search: Callable = top_k) -> DataFrame:
+    """Each target cell's k source cells of the highest (sign 1) or lowest (-1) rank correlation; modalities, or long values of dense ones."""
+    return search(score_vectors(targets, sign), score_vectors(sources), k)
+
+
+def first_k(edges: DataFrame, k: int) -> DataFrame:
+    """The first k of the neighbours stored for each target; ValueError if fewer are stored."""
+    if (edges.agg(F.max("rn")).first()[0] or 0) < k:
+        raise ValueError(f"fewer than {k} neighbours are stored")
+    return edges.where(F.col("rn") <= k)
 
 
 def saturation(n_targets: int, n_sources: int, k: int, relaxation: float) -> int:
@@ -104,45 +291,77 @@ def saturation(n_targets: int, n_sources: int, k: int, relaxation: float) -> int
     return int(n_targets / n_sources * k * relaxation) + 1
 
 
-def constrained_knn(targets: DataFrame, sources: DataFrame, k: int = 20, relaxation: float = 10, speed: int = 10, seed: int = 23, sign: int = 1) -> DataFrame:
-    """(target_id, source_id, rn): k sources for each target, none for more targets than saturation().
+def constrained_knn(targets: DataFrame | Modality, sources: DataFrame | Modality, k: int = 20, relaxation: float = 10, speed: int = 10, seed: int = 23, sign: int = 1, search: Callable = top_k) -> DataFrame:
+    """capped_top_k() of rank z-scores; modalities, or long values of dense ones."""
+    return capped_top_k(stored(score_vectors(targets, sign), "targets"), stored(score_vectors(sources), "sources"), k, relaxation, speed, seed, search)
+
 
-    Plain neighbours are the answer if none of their in-degrees passes the cap. Otherwise the targets choose in a seeded
-    order, pass by pass: of its best k * speed sources that were open at the start of the pass, a target takes the first k
-    that still are, or waits for the next pass. The choice is sequential by definition; it reads candidate ids alone, in one task.
+def capped_top_k(t: DataFrame, s: DataFrame, k: int = 20, relaxation: float = 10, speed: int = 10, seed: int = 23, search: Callable = top_k) -> DataFrame:
+    """(target_id, source_id, rn): k sources for each target, none for more targets than saturation(); t and s are stored vectors.
+
+    Plain neighbours are the answer if none of their in-degrees passes the cap. Otherwise the targets choose one after the other
+    in a seeded order (md5 of id, seed and pass), pass by pass: of its best k * speed sources that were open at the
+    start of the pass, a target takes the first k that still are, or waits for the next pass. The outcome is that of this
+    sequence, but worked out by _chosen() in rounds over tables; only counts come to the driver.
     """
-    t, s = vectors(rank_zscores(targets, sign)).cache(), vectors(rank_zscores(sources)).cache()
     n_t, n_s = t.count(), s.count()
     if k > n_s:
         raise ValueError(f"{k} neighbours of {n_s} sources")
     cap = saturation(n_t, n_s, k, relaxation)
-    plain = top_k(t, s, k).select("target_id", "source_id", "rn")
+    plain = stored(search(t, s, k).select("target_id", "source_id", "rn"), "neighbours")
     if (plain.groupBy("source_id").count().agg(F.max("count")).first()[0] or 0) <= cap:
         return plain
-    spark = targets.sparkSession
-    degree: dict[int, int] = {}
-    left, accepted, turn = t, [], 0
-    while (n_left := left.count()) > 0:
-        full = [x for x, d in degree.items() if d >= cap]
-        if n_s - len(full) < k:
+    accepted: list[DataFrame] = []
+    left, n_left = t, n_t
+    while n_left:
+        taken = functools.reduce(DataFrame.unionAll, accepted) if accepted else plain.limit(0)
+        degree = stored(taken.groupBy("source_id").agg(F.count(F.lit(1)).alias("_d")), "degrees")
+        full = degree.where(F.col("_d") >= cap).select(F.col("source_id").alias("cell_id"))
+        n_open = n_s - full.count()
+        if n_open < k:
             raise RuntimeError("too few sources are below the cap; raise the relaxation")
-        open_ = s.join(F.broadcast(spark.createDataFrame([(x,) for x in full], "cell_id long")), "cell_id", "left_anti") if full else s
-        cand = top_k(left, open_, min(k * speed, n_s - len(full))).withColumn("_o", F.xxhash64("target_id", F.lit(seed), F.lit(turn)))
-        rows = cand.orderBy("_o", "target_id", "rn").select("target_id", "source_id").toPandas()
-        waiting = []
-        for target, group in rows.groupby("target_id", sort=False):
-            free = [x for x in group["source_id"].tolist() if degree.get(x, 0) < cap][:k]
-            if len(free) < k:
-                waiting.append(int(target))
-                continue
-            for i, x in enumerate(free, 1):
-                degree[x] = degree.get(x, 0) + 1
-                accepted.append((int(target), int(x), i))
-        if len(waiting) == n_left:
+        open_ = s.join(full, "cell_id", "left_anti") if n_open < n_s else s
+        order = F.md5(F.concat_ws(":", F.col("target_id").cast("string"), F.lit(str(seed)), F.lit(str(len(accepted)))).cast("binary"))
+        cand = search(left, open_, min(k * speed, n_open)).select("target_id", "source_id", "rn", order.alias("_o"))
+        accepted.append(_chosen(stored(cand, "candidates"), degree, cap, k))
+        done = accepted[-1].select(F.col("target_id").alias("cell_id")).distinct()
+        left = stored(left.join(done, "cell_id", "left_anti"), "waiting")
+        if left.count() == n_left:
             raise RuntimeError("no target found enough sources below the cap; raise the relaxation")
-        left = t.join(F.broadcast(spark.createDataFrame([(x,) for x in waiting], "cell_id long")), "cell_id", "left_semi")
-        turn += 1
-    return spark.createDataFrame(accepted, "target_id long, source_id long, rn int")
+        n_left = left.count()
+    return functools.reduce(DataFrame.unionAll, accepted)
+
+
+def _chosen(cand: DataFrame, degree: DataFrame, cap: int, k: int) -> DataFrame:
+    """(target_id, source_id, rn) of what the targets of cand (target_id, source_id, rn, _o) take if each in turn, in the order of _o and
+    id, takes the first k of its candidates that fewer than cap have, or none if there are fewer than k.
+
+    Each round bounds how many earlier targets take a source, from those that surely do (_s = 2) and those that still may (1). A
+    candidate is free if those that may leave room, and full if those that do leave none; from this follows what a target
+    surely takes, may take, or cannot. The first target that is open has no open one before it, so each round
+    settles some. Counts before a target run in two levels (256 parts of the order), so no task gathers a source.
+    """
+    state = cand.join(degree.select(F.col("source_id").alias("_ds"), "_d"), F.col("source_id") == F.col("_ds"), "left")
+    state = state.select("target_id", "source_id", "rn", "_o", F.coalesce("_d", F.lit(0)).alias("_d"), F.conv(F.substring("_o", 1, 2), 16, 10).cast("int").alias("_b"), F.lit(1).alias("_s"))
+    sure, may = (F.col("_s") == 2).cast("long"), (F.col("_s") > 0).cast("long")
+    with Scratch() as own:
+        while True:
+            parts = state.groupBy("source_id", "_b").agg(F.sum(sure).alias("_l"), F.sum(may).alias("_u"))
+            run = Window.partitionBy("source_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+            parts = parts.select(F.col("source_id").alias("_ps"), F.col("_b").alias("_pb"), *(F.coalesce(F.sum(c).over(run), F.lit(0)).alias(c) for c in ("_l", "_u")))
+            before = Window.partitionBy("source_id", "_b").orderBy("_o", "target_id").rowsBetween(Window.unboundedPreceding, -1)
+            known = state.select("*", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(c) for x, c in ((sure, "_il"), (may, "_iu"))))
+            known = known.join(parts, (F.col("source_id") == F.col("_ps")) & (F.col("_b") == F.col("_pb")))
+            free, room = F.col("_d") + F.col("_u") + F.col("_iu") < cap, F.col("_d") + F.col("_l") + F.col("_il") < cap
+            known = known.select("target_id", "source_id", "rn", "_o", "_d", "_b", free.cast("int").alias("_free"), room.cast("int").alias("_room"))
+            all_, upto = Window.partitionBy("target_id"), Window.partitionBy("target_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+            takes = (F.sum("_free").over(all_) >= k) & (F.col("_free") == 1) & (F.coalesce(F.sum("_room").over(upto), F.lit(0)) < k)
+            could = (F.sum("_room").over(all_) >= k) & (F.col("_room") == 1) & (F.coalesce(F.sum("_free").over(upto), F.lit(0)) < k)
+            state = stored(known.select("target_id", "source_id", "rn", "_o", "_d", "_b", F.when(takes, 2).when(could, 1).otherwise(0).alias("_s")), "choices")
+            if not state.where("_s = 1").limit(1).count():
+                break
+        place = F.row_number().over(Window.partitionBy("target_id").orderBy("rn"))
+        return own.keep(stored(state.where("_s = 2").select("target_id", "source_id", place.alias("rn")), "accepted"))
 
 
 def auto_k(n_valid: int, fraction: float, k_max: int) -> int:
@@ -169,14 +388,25 @@ def normalised(edges: DataFrame, offset: float = 1e-5, axis: int | None = 1) ->
     return edges.withColumn("weight", F.col("weight") / (F.sum("weight").over(Window.partitionBy(key)) + offset))
 
 
-def mutual_neighbors(targets: DataFrame, sources: DataFrame, k_target: int, k_source: int, sign: int = 1) -> DataFrame:
-    """(target_id, source_id): sources among the target's k_target best, whose k_source best have the target; long values of both."""
-    t, s = vectors(rank_zscores(targets, sign)), vectors(rank_zscores(sources))
-    there = top_k(t, s, k_target).select("target_id", "source_id")
-    back = top_k(s, t, k_source).select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+def mutual_neighbors(targets: DataFrame | Modality, sources: DataFrame | Modality, k_target: int, k_source: int, sign: int = 1, search: Callable = top_k) -> DataFrame:
+    """mutual_top_k() of rank z-scores; modalities, or long values of dense ones."""
+    return mutual_top_k(stored(score_vectors(targets, sign), "targets"), stored(score_vectors(sources), "sources"), k_target, k_source, search)
+
+
+def mutual_top_k(t: DataFrame, s: DataFrame, k_target: int, k_source: int, search: Callable = top_k) -> DataFrame:
+    """(target_id, source_id): sources among the target's k_target best, whose k_source best have the target."""
+    there = search(t, s, k_target).select("target_id", "source_id")
+    back = search(s, t, k_source).select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
     return there.join(back, ["target_id", "source_id"])
 
 
+def adjacency(edges: DataFrame, n_targets: int | None = None) -> DataFrame:
+    """(target_id, source_id, weight) with weight 1 for each neighbour; ValueError if not n_targets targets have neighbours."""
+    if n_targets is not None and edges.select("target_id").distinct().count() != n_targets:
+        raise ValueError(f"not {n_targets} targets have neighbours")
+    return edges.select("target_id", "source_id", F.lit(1.0).alias("weight"))
+
+
 def rescue_weights(points: DataFrame, anchors: DataFrame, k: int, ka: int = 5, epsilon: float = 1.0, offset: float = 1e-5) -> DataFrame:
     """(target_id, source_id, weight) of each point's k nearest anchors: a Gaussian of the distance over that of the ka-th (from 0),
     normalised. points and anchors are (cell_id, vec)."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from plexmat.operators import decompose, features, impute, integrate, neighbors
 from plexmat.plans import fuse
 from plexmat.sources import modality
 from plexmat.sources.modality import Modality
+from plexmat.sources.shared import shared_dir, stored
 
 K, MUTUAL, RESCUE, KA = 20, 10, 10, 5
 
@@ -33,7 +38,18 @@ def _suppliers(spark: SparkSession, d: str) -> Modality:
     """Quantities by supplier and part: a sparse modality, with the supplier's nation modulo 5 as cluster."""
     m = modality.from_facts(_facts(spark, d), "suppliers", F.col("l_suppkey"), F.col("l_partkey"), F.col("l_quantity"))
     nations = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_id"), (F.col("s_nationkey") % 5).alias("cluster"))
-    return Modality(m.name, m.cells.join(nations, "cell_id"), m.features, m.values)
+    return replace(m, cells=m.cells.join(nations, "cell_id"))
+
+
+def _signed(spark: SparkSession, d: str) -> Modality:
+    """_suppliers() with what lies above or below 25 in place of quantities: a sparse modality with negative values."""
+    m = _suppliers(spark, d)
+    return replace(m, values=modality.from_facts(_facts(spark, d), "signed", F.col("l_suppkey"), F.col("l_partkey"), F.col("l_quantity") - 25).values)
+
+
+def _part(m: Modality, part: int, name: str) -> Modality:
+    """The cells of even (0) or odd (1) ids, with all features."""
+    return replace(m.where(cells=(F.pmod("cell_id", F.lit(2)) == part).cast("int")), name=name)
 
 
 def _round(df: DataFrame, *cols: str) -> DataFrame:
@@ -66,7 +82,24 @@ def kruskal_h(spark, d):
 
 
 def kruskal_h_sparse(spark, d):
-    return _round(features.kruskal_features(_suppliers(spark, d), sparse=True), "h").select("feat_id", "h")
+    return _round(features.kruskal_features(_suppliers(spark, d)), "h").select("feat_id", "h")
+
+
+def kruskal_negative(spark, d):
+    return _round(features.kruskal_features(_signed(spark, d)), "h").select("feat_id", "h")
+
+
+def cell_moments_sparse(spark, d):
+    return _round(_suppliers(spark, d).moments(0), "mean", "std")
+
+
+def layer_moments_sparse(spark, d):
+    return _round(_suppliers(spark, d).moments(None), "mean", "std")
+
+
+def sparse_zscore(spark, d):
+    z = _round(_signed(spark, d).zscores(), "z", "zero")
+    return z.withColumn("zero", F.when(F.col("zero") == 0, 0.0).otherwise(F.col("zero")))
 
 
 def kruskal_p_5groups(spark, d):
@@ -78,11 +111,15 @@ def kruskal_p_10groups(spark, d):
 
 
 def hvf_vmr(spark, d):
-    return features.decile_features(_emb(spark, d, 0), "vmr").select("feat_id", "decile", "variable")
+    return features.decile_features(_emb(spark, d), "vmr").select("feat_id", "decile", "variable")
 
 
 def hvf_sd(spark, d):
-    return features.decile_features(_emb(spark, d, 0), "sd").select("feat_id", "decile", "variable")
+    return features.decile_features(_emb(spark, d), "sd").select("feat_id", "decile", "variable")
+
+
+def hvf_sparse(spark, d):
+    return features.decile_features(_suppliers(spark, d), "vmr").select("feat_id", "decile", "variable")
 
 
 def common_kruskal(spark, d):
@@ -94,19 +131,43 @@ def common_decile(spark, d):
 
 
 def knn_spearman(spark, d):
-    return _round(neighbors.spearman_knn(_emb(spark, d, 1).values, _emb(spark, d, 0).values, K), "score")
+    return _round(neighbors.spearman_knn(_emb(spark, d, 1), _emb(spark, d, 0), K), "score")
 
 
 def knn_negative(spark, d):
-    return _round(neighbors.spearman_knn(_emb(spark, d, 1).values, _emb(spark, d, 0).values, K, -1), "score")
+    return _round(neighbors.spearman_knn(_emb(spark, d, 1), _emb(spark, d, 0), K, -1), "score")
+
+
+def knn_blocks(spark, d):
+    """knn_spearman() block by block, as for sources that are too many to broadcast."""
+    t, s = (neighbors.score_vectors(_emb(spark, d, p)) for p in (1, 0))
+    return _round(neighbors.top_k(t, s, K, broadcast_bytes=0, block=100), "score")
+
+
+def knn_bucketed(spark, d):
+    """knn_spearman() by the bucketed search; with all lists probed it is exact."""
+    return _round(neighbors.spearman_knn(_emb(spark, d, 1), _emb(spark, d, 0), K, search=lambda t, s, k: neighbors.bucketed_top_k(t, s, k, lists=6, probes=6)), "score")
+
+
+def knn_sparse(spark, d):
+    m = _suppliers(spark, d)
+    return _round(neighbors.spearman_knn(_part(m, 1, "target"), _part(m, 0, "source"), 5), "score")
+
+
+def knn_metrics(spark, d):
+    """Neighbours of raw vectors, rounded to one place, by each distance."""
+    parts = [replace(m, values=m.values.withColumn("value", F.round("value", 1))) for m in (_emb(spark, d, 1), _emb(spark, d, 0))]
+    t, s = (stored(neighbors.value_vectors(m), "values") for m in parts)
+    found = [neighbors.top_k(t, s, 5, metric).withColumn("metric", F.lit(metric)) for metric in ("euclidean", "angular", "manhattan", "hamming")]
+    return _round(functools.reduce(DataFrame.unionByName, found), "score")
 
 
 def constrained_knn_loose(spark, d):
-    return neighbors.constrained_knn(_emb(spark, d, 1).values, _emb(spark, d, 0).values, K, 10)
+    return neighbors.constrained_knn(_emb(spark, d, 1), _emb(spark, d, 0), K, 10)
 
 
 def constrained_knn_tight(spark, d):
-    return neighbors.constrained_knn(_emb(spark, d, 1).values, _emb(spark, d, 0).values, K, 1.1)
+    return neighbors.constrained_knn(_emb(spark, d, 1), _emb(spark, d, 0), K, 1.1)
 
 
 def _all_features(spark, d):
@@ -117,8 +178,27 @@ def impute_knn(spark, d):
     return _round(impute.impute(_emb(spark, d, 1), _emb(spark, d, 0), _all_features(spark, d), "knn", k=K).values, "value")
 
 
+def impute_sparse(spark, d):
+    m = _suppliers(spark, d)
+    return _round(impute.impute(_part(m, 1, "target"), _part(m, 0, "source"), m.features, "knn", k=5).values, "value")
+
+
+def impute_first_k(spark, d):
+    """Imputation from the first 5 of 20 stored neighbours."""
+    t, s = _emb(spark, d, 1), _emb(spark, d, 0)
+    edges = stored(neighbors.constrained_knn(t, s, K), "neighbours")
+    return _round(impute.impute(t, s, s.features, "knn", k=5, edges=edges).values, "value")
+
+
+def impute_feature_join(spark, d):
+    """A target without the source's first 8 features, by the features from 16 on: it gets values of the features that both have."""
+    t, s = _emb(spark, d, 1), _emb(spark, d, 0)
+    t = t.only_features(t.features.where("feat_id >= 8"))
+    return _round(impute.impute(t, s, s.features.where("feat_id >= 16"), "knn", k=K).values, "value")
+
+
 def mnn_edges(spark, d):
-    return neighbors.mutual_neighbors(_emb(spark, d, 1).values, _emb(spark, d, 0).values, MUTUAL, MUTUAL)
+    return neighbors.mutual_neighbors(_emb(spark, d, 1), _emb(spark, d, 0), MUTUAL, MUTUAL)
 
 
 def impute_mnn_direct(spark, d):
@@ -127,8 +207,8 @@ def impute_mnn_direct(spark, d):
 
 def rescue_weights(spark, d):
     t, s = _emb(spark, d, 1), _emb(spark, d, 0)
-    anchors = neighbors.mutual_neighbors(t.values, s.values, 2, 2).select(F.col("target_id").alias("cell_id")).distinct()
-    points = neighbors.vectors(t.values, "value")
+    anchors = neighbors.mutual_neighbors(t, s, 2, 2).select(F.col("target_id").alias("cell_id")).distinct()
+    points = stored(neighbors.value_vectors(t), "points")
     return _round(neighbors.rescue_weights(points, points.join(anchors, "cell_id", "left_semi"), RESCUE, KA), "weight")
 
 
@@ -161,14 +241,12 @@ def round_unit(spark, d):
 
 
 def pct_common(spark, d):
-    f = features.decile_features(_emb(spark, d, 0), "vmr")
+    f = features.decile_features(_emb(spark, d), "vmr")
     return f.agg(scalar.percentage(F.sum("variable"), F.count(F.lit(1))).alias("pct"))
 
 
 def natural_sort(spark, d):
-    from pyspark.sql import Window
-
-    return _table(spark, d, "part").select("p_name").distinct().select("p_name", F.row_number().over(Window.orderBy(scalar.natural_key(F.col("p_name")), "p_name")).alias("pos"))
+    return rank.positions(_table(spark, d, "part").select("p_name").distinct(), [scalar.natural_key(F.col("p_name")), F.col("p_name")])
 
 
 def chromosomes(spark, d):
@@ -176,8 +254,9 @@ def chromosomes(spark, d):
 
 
 def pca_gram(spark, d):
-    """The squared length of each cell's components, which no sign changes."""
-    p = decompose.pca(_emb(spark, d), 20)
+    """The squared length of each cell's components, which no sign changes; of all components, it is that of the centred cell."""
+    m = _emb(spark, d)
+    p = decompose.pca(m, m.features.count())
     return p.select("cell_id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 5).alias("norm2"))
 
 
@@ -188,7 +267,59 @@ def valid_subset(spark, d):
 
 def scaled_values(spark, d):
     m = _suppliers(spark, d)
-    return _round(Modality(m.name, m.cells.withColumn("scale", F.col("cell_id") + 1), m.features, m.values).scaled("scale").values, "value")
+    return _round(replace(m, cells=m.cells.withColumn("scale", F.col("cell_id") + 1)).scaled("scale").values, "value")
+
+
+def layer_store(spark, d):
+    """A modality with a base layer and one of squares, created and then appended to; of either layer the cells' sums."""
+    m = _emb(spark, d)
+    m = m.with_layer("squares", m.values.withColumn("value", F.col("value") * F.col("value")))
+    path = f"{shared_dir(spark)}/plexmat-store-{uuid.uuid4().hex}"
+    _part(m, 0, "all").write(path)
+    _part(m, 1, "all").write(path, "append")
+    back = modality.read(spark, path, "all", "squares")
+    sums = [back.layer(x).values.groupBy("cell_id").agg(F.round(F.sum("value"), 6).alias("total")).withColumn("layer", F.lit(x or "base")) for x in ("", "squares")]
+    return sums[0].unionByName(sums[1])
+
+
+def expand_sparse(spark, d):
+    """Suppliers by parts as a part of a larger matrix, in which a row or column has three times its place."""
+    v = _suppliers(spark, d).values.select(F.col("cell_id").alias("row"), F.col("feat_id").alias("col"), "value")
+    places = [v.select(F.col(c).alias("pos")).distinct().withColumn("full", F.col("pos") * 3) for c in ("row", "col")]
+    return modality.expand(v, *places, *(p.agg(F.max("full")).first()[0] + 1 for p in places))
+
+
+def melt(spark, d):
+    """One column for each line number, from the orders' lines, and back to long values."""
+    wide = _table(spark, d, "lineitem").groupBy("l_suppkey").pivot("l_linenumber", [1, 2, 3, 4]).agg(F.sum("l_quantity").cast("double"))
+    return modality.melt(wide, "l_suppkey", name="line")
+
+
+def reindexed(spark, d):
+    """Suppliers' returned quantities with a row for each supplier."""
+    returned = _table(spark, d, "lineitem").where("l_returnflag = 'R' and l_linenumber = 7").groupBy(F.col("l_suppkey").alias("cell_id")).agg(F.sum("l_quantity").cast("double").alias("quantity"))
+    return modality.reindexed(returned, _table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_id")))
+
+
+def nan_matrix(spark, d):
+    """A matrix of suppliers by nations without known values."""
+    n, m = _table(spark, d, "supplier").count(), _table(spark, d, "nation").count()
+    return scalar.nan_matrix(spark, n, m).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_features"), F.sum(F.isnan("value").cast("int")).alias("n_nan"))
+
+
+def fuse_two_targets(spark, d):
+    """Two targets, the odd cells of either half, with neighbours, correlation and label of their own."""
+    odd = _emb(spark, d, 1)
+    a, b = (replace(odd.where(cells=(F.pmod("cell_id", F.lit(4)) == r).cast("int")), name=f"t{r}") for r in (1, 3))
+    out = fuse.fuse(_emb(spark, d, 0), fuse.targets_of([a, b], correlation=["positive", "negative"], k=[20, 7], label=["b", "c"]), n_markers=40, source_label="a")
+    return _round(out, "value")
+
+
+def fuse_flags(spark, d):
+    """The flag of common features that fuse_all() gives the source and the target."""
+    got = fuse.fuse_all(_emb(spark, d, 0), [fuse.Target(_emb(spark, d, 1))], n_markers=40, k=K)
+    parts = [m.features.select("feat_id", "common_variable", F.lit(m.name).alias("modality")) for m in (got.source, *got.targets)]
+    return parts[0].unionByName(parts[1])
 
 
 def fuse_pipeline(spark, d):
@@ -199,7 +330,9 @@ def fuse_pipeline(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        feature_moments, cell_moments, layer_moments, sparse_feature_moments, rank_zscore, kruskal_h, kruskal_h_sparse, kruskal_p_5groups, kruskal_p_10groups, hvf_vmr, hvf_sd,
+        feature_moments, cell_moments, layer_moments, sparse_feature_moments, cell_moments_sparse, layer_moments_sparse, rank_zscore, sparse_zscore, kruskal_h, kruskal_h_sparse, kruskal_negative,
+        kruskal_p_5groups, kruskal_p_10groups, hvf_vmr, hvf_sd, hvf_sparse, knn_blocks, knn_bucketed, knn_sparse, knn_metrics, impute_sparse, impute_first_k, impute_feature_join, layer_store, expand_sparse,
+        melt, reindexed, nan_matrix, fuse_two_targets, fuse_flags,
         common_kruskal, common_decile, knn_spearman, knn_negative, constrained_knn_loose, constrained_knn_tight, impute_knn, mnn_edges, impute_mnn_direct, rescue_weights,
         impute_mnn_rescue, integrate_union, integrate_counts, strip_version, round_unit, pct_common, natural_sort, chromosomes, pca_gram, valid_subset, scaled_values, fuse_pipeline,
     )
@@ -218,9 +351,9 @@ def _kruskal(src: str, label: str = "label", where: str = "TRUE", name: str = "k
 {name} AS (SELECT feat_id, CASE WHEN 1 - ties / (n * n * n - n) > 1e-12 THEN (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) ELSE 0 END AS h FROM {name}_f)"""
 
 
-def _hvf(part: str, measure: str, cut: float, name: str) -> str:
+def _hvf(where: str, measure: str, cut: float, name: str, src: str = "emb") -> str:
     spread = "(sd * sd + 1) / (mean + 1)" if measure == "vmr" else "sd"
-    return f"""{name}_s AS (SELECT feat_id, mean, {spread} AS spread FROM (SELECT feat_id, avg(value) AS mean, stddev_pop(value) AS sd FROM emb WHERE cell_id % 2 = {part} GROUP BY 1)),
+    return f"""{name}_s AS (SELECT feat_id, mean, {spread} AS spread FROM (SELECT feat_id, avg(value) AS mean, stddev_pop(value) AS sd FROM {src} WHERE {where} GROUP BY 1)),
 {name}_e AS (SELECT unnest(quantile_cont(mean, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM {name}_s),
 {name}_b AS (SELECT feat_id, spread, (SELECT count(*) FROM {name}_e WHERE e < mean) AS decile FROM {name}_s),
 {name}_c AS (SELECT decile, quantile_cont(spread, {cut}) AS cut FROM {name}_b GROUP BY 1),
@@ -238,6 +371,18 @@ def _z(sign: str = "", src: str = "emb") -> str:
     return _Z.format(sign=sign, src=src)
 
 
+_SIGNED = _SUP.replace("sum(l_quantity)::DOUBLE", "sum(l_quantity - 25)::DOUBLE")
+# erfc by the series of erf with positive terms; the tail sum of the survival function for 9 degrees of freedom.
+_P9 = """(1 - 2 / sqrt(pi()) * exp(-x) * list_sum(list_transform(range(0, 300), lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln(x) / 2 + lgamma(n + 1.0::DOUBLE) - lgamma(2.0::DOUBLE * n + 2))))
+  + exp(-x) * list_sum(list_transform(range(1, 5), lambda i: exp((i - 0.5) * ln(x)) / gamma(i + 0.5::DOUBLE))))"""
+#: The targets' turns one after the other: a row for each, with how many have each source so far.
+_WALK = f"""ids AS (SELECT source_id, row_number() OVER (ORDER BY source_id) AS i FROM (SELECT DISTINCT source_id FROM fwd)),
+num AS (SELECT count(DISTINCT target_id) AS n_t, count(DISTINCT source_id) AS n_s FROM fwd),
+cand AS (SELECT target_id, list(i ORDER BY rn) AS c, row_number() OVER (ORDER BY md5(target_id || ':23:0'), target_id) AS pos FROM fwd JOIN ids USING (source_id) WHERE rn <= {K * 10} GROUP BY 1),
+walk AS (SELECT 0::BIGINT AS pos, list_transform(range(1, n_s + 1), lambda x: 0) AS deg, NULL::BIGINT AS target_id, []::BIGINT[] AS picks, floor(n_t / n_s * {K} * 1.1)::BIGINT + 1 AS cap FROM num
+  UNION ALL
+  SELECT pos, list_transform(deg, lambda v, x: v + list_contains(p, x)::INT), target_id, p, cap
+  FROM (SELECT o.pos, o.target_id, w.deg, w.cap, list_slice(list_filter(o.c, lambda x: w.deg[x] < w.cap), 1, {K}) AS p FROM walk w JOIN cand o ON o.pos = w.pos + 1))"""
 _IMPUTED = f"imp AS (SELECT target_id AS cell_id, feat_id, sum(value / ({K} + 1e-7)) AS value FROM fwd JOIN {{src}} e ON e.cell_id = source_id WHERE rn <= {K} GROUP BY 1, 2)"
 _MNN2 = """mnn AS (SELECT f.target_id, f.source_id FROM fwd f JOIN bwd b ON f.target_id = b.target_id AND f.source_id = b.source_id WHERE f.rn <= 2 AND b.rn <= 2),
 dir AS (SELECT target_id, source_id, 1.0 / (count(*) OVER (PARTITION BY target_id) + 1e-5) AS weight FROM mnn)"""
@@ -256,12 +401,46 @@ SQL = {
     "kruskal_h": f"WITH {_EMB}, {_kruskal('emb')} SELECT feat_id, round(h, 6) AS h FROM kw",
     "kruskal_h_sparse": f"WITH {_SUP}, {_kruskal('grid')} SELECT feat_id, round(h, 6) AS h FROM kw",
     "kruskal_p_5groups": f"WITH {_EMB}, {_kruskal('emb', 'label % 5')} SELECT feat_id, round(h, 6) AS h, round(exp(-h / 2) * (1 + h / 2), 6) AS pval FROM kw",
-    "hvf_vmr": f"WITH {_EMB}, {_hvf('0', 'vmr', 0.7, 'hv')} SELECT * FROM hv",
-    "hvf_sd": f"WITH {_EMB}, {_hvf('0', 'sd', 0.7, 'hv')} SELECT * FROM hv",
+    "kruskal_p_10groups": f"WITH {_EMB}, {_kruskal('emb')}, q AS (SELECT *, h / 2 AS x FROM kw) SELECT feat_id, round(h, 6) AS h, round({_P9}, 6) AS pval FROM q",
+    "kruskal_negative": f"WITH {_SIGNED}, {_kruskal('grid')} SELECT feat_id, round(h, 6) AS h FROM kw",
+    "cell_moments_sparse": f"WITH {_SUP} SELECT cell_id, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n FROM grid GROUP BY 1",
+    "layer_moments_sparse": f"WITH {_SUP} SELECT round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n FROM grid",
+    "sparse_zscore": f"WITH {_SIGNED}, {_z(src='grid')}, y AS (SELECT cell_id, max(z) AS zero FROM z JOIN grid USING (cell_id, feat_id) WHERE value = 0 GROUP BY 1) SELECT cell_id, feat_id, round(z, 6) AS z, CASE WHEN round(zero, 6) = 0 THEN 0 ELSE round(zero, 6) END AS zero FROM z JOIN grid USING (cell_id, feat_id) JOIN y USING (cell_id) WHERE value <> 0",
+    "hvf_vmr": f"WITH {_EMB}, {_hvf('TRUE', 'vmr', 0.7, 'hv')} SELECT * FROM hv",
+    "hvf_sd": f"WITH {_EMB}, {_hvf('TRUE', 'sd', 0.7, 'hv')} SELECT * FROM hv",
+    "hvf_sparse": f"WITH {_SUP}, {_hvf('TRUE', 'vmr', 0.7, 'hv', 'grid')} SELECT * FROM hv",
     "common_kruskal": f"WITH {_EMB}, {_kruskal('emb', where='cell_id % 2 = 1', name='a')}, {_kruskal('emb', where='cell_id % 2 = 0', name='b')} (SELECT feat_id FROM a ORDER BY h DESC, feat_id LIMIT 40) INTERSECT (SELECT feat_id FROM b ORDER BY h DESC, feat_id LIMIT 40)",
-    "common_decile": f"WITH {_EMB}, {_hvf('1', 'vmr', 0.4, 'a')}, {_hvf('0', 'vmr', 0.4, 'b')} SELECT feat_id FROM a WHERE variable = 1 INTERSECT SELECT feat_id FROM b WHERE variable = 1",
+    "common_decile": f"WITH {_EMB}, {_hvf('cell_id % 2 = 1', 'vmr', 0.4, 'a')}, {_hvf('cell_id % 2 = 0', 'vmr', 0.4, 'b')} SELECT feat_id FROM a WHERE variable = 1 INTERSECT SELECT feat_id FROM b WHERE variable = 1",
     "knn_spearman": f"WITH {_EMB}, {_z()} SELECT target_id, source_id, rn::INT AS rn, round(dot, 6) AS score FROM fwd WHERE rn <= {K}",
     "knn_negative": f"WITH {_EMB}, {_z('-')} SELECT target_id, source_id, rn::INT AS rn, round(dot, 6) AS score FROM fwd WHERE rn <= {K}",
+    "knn_blocks": f"WITH {_EMB}, {_z()} SELECT target_id, source_id, rn::INT AS rn, round(dot, 6) AS score FROM fwd WHERE rn <= {K}",
+    "knn_bucketed": f"WITH {_EMB}, {_z()} SELECT target_id, source_id, rn::INT AS rn, round(dot, 6) AS score FROM fwd WHERE rn <= {K}",
+    "knn_sparse": f"WITH {_SUP}, {_z(src='grid')} SELECT target_id, source_id, rn::INT AS rn, round(dot, 6) AS score FROM fwd WHERE rn <= 5",
+    "knn_metrics": f"""WITH {_EMB}, e AS (SELECT cell_id, feat_id, round(value, 1) AS v FROM emb),
+m AS (SELECT t.cell_id AS target_id, s.cell_id AS source_id, sqrt(sum((t.v - s.v) ** 2)) AS euclidean, sqrt(greatest(2 - 2 * sum(t.v * s.v) / sqrt(sum(t.v * t.v) * sum(s.v * s.v)), 0)) AS angular,
+  sum(abs(t.v - s.v)) AS manhattan, sum((t.v <> s.v)::INT)::DOUBLE AS hamming FROM e t JOIN e s ON t.feat_id = s.feat_id WHERE t.cell_id % 2 = 1 AND s.cell_id % 2 = 0 GROUP BY 1, 2),
+l AS (UNPIVOT m ON euclidean, angular, manhattan, hamming INTO NAME metric VALUE score)
+SELECT target_id, source_id, row_number() OVER (PARTITION BY metric, target_id ORDER BY round(score, 9), source_id)::INT AS rn, round(score, 6) AS score, metric FROM l QUALIFY rn <= 5""",
+    "constrained_knn_tight": f"WITH RECURSIVE {_EMB}, {_z()}, {_WALK} SELECT target_id, source_id, rn::INT AS rn FROM (SELECT target_id, unnest(picks) AS i, generate_subscripts(picks, 1) AS rn FROM walk WHERE pos > 0) JOIN ids USING (i)",
+    "impute_sparse": f"WITH {_SUP}, {_z(src='grid')} SELECT target_id AS cell_id, feat_id, round(sum(value / (5 + 1e-7)), 6) AS value FROM fwd JOIN sup ON sup.cell_id = source_id WHERE rn <= 5 GROUP BY 1, 2",
+    "impute_first_k": f"WITH {_EMB}, {_z()} SELECT target_id AS cell_id, feat_id, round(sum(value / (5 + 1e-7)), 6) AS value FROM fwd JOIN emb ON emb.cell_id = source_id WHERE rn <= 5 GROUP BY 1, 2",
+    "impute_feature_join": f"WITH {_EMB}, ce AS (SELECT * FROM emb WHERE feat_id >= 16), {_z(src='ce')}, {_IMPUTED.format(src='emb')} SELECT cell_id, feat_id, round(value, 6) AS value FROM imp WHERE feat_id >= 8",
+    "layer_store": f"WITH {_EMB} SELECT cell_id, round(sum(value), 6) AS total, 'base' AS layer FROM emb GROUP BY 1 UNION ALL SELECT cell_id, round(sum(value * value), 6), 'squares' FROM emb GROUP BY 1",
+    "expand_sparse": f"WITH {_SUP} SELECT cell_id * 3 AS row, feat_id * 3 AS col, value FROM sup",
+    "melt": "WITH s AS (SELECT DISTINCT l_suppkey FROM lineitem), n AS (SELECT unnest([1, 2, 3, 4]) AS i) SELECT s.l_suppkey, i::VARCHAR AS line, (SELECT sum(l_quantity)::DOUBLE FROM lineitem l WHERE l.l_suppkey = s.l_suppkey AND l.l_linenumber = i) AS value FROM s CROSS JOIN n",
+    "reindexed": "SELECT s_suppkey AS cell_id, coalesce(sum(l_quantity)::DOUBLE, 0) AS quantity FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_linenumber = 7 GROUP BY 1",
+    "nan_matrix": "SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::BIGINT AS cell_id, (SELECT count(*) FROM nation) AS n_features, (SELECT count(*) FROM nation) AS n_nan FROM supplier",
+    "natural_sort": r"SELECT p_name, row_number() OVER (ORDER BY list_transform(regexp_extract_all(lower(p_name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN chr(1) || lpad(length(ltrim(x, '0'))::VARCHAR, 10, '0') || ltrim(x, '0') ELSE x END), p_name) AS pos FROM (SELECT DISTINCT p_name FROM part)",
+    "pca_gram": f"WITH {_EMB}, c AS (SELECT cell_id, value - avg(value) OVER (PARTITION BY feat_id) AS v FROM emb) SELECT cell_id, round(sum(v * v), 5) AS norm2 FROM c GROUP BY 1",
+    "fuse_two_targets": f"""WITH {_EMB}, {_kruskal('emb', where='cell_id % 4 = 1', name='a')}, {_kruskal('emb', where='cell_id % 4 = 3', name='c')}, {_kruskal('emb', where='cell_id % 2 = 0', name='b')},
+com AS ((SELECT feat_id FROM a ORDER BY h DESC, feat_id LIMIT 40) INTERSECT (SELECT feat_id FROM b ORDER BY h DESC, feat_id LIMIT 40) INTERSECT (SELECT feat_id FROM c ORDER BY h DESC, feat_id LIMIT 40)), ce AS (SELECT * FROM emb WHERE feat_id IN (SELECT feat_id FROM com)),
+{_z(src='ce')}, neg AS (SELECT target_id, source_id, row_number() OVER (PARTITION BY target_id ORDER BY -dot DESC, source_id) AS rn FROM dots),
+w AS (SELECT target_id, source_id, 1 / (20 + 1e-7) AS weight FROM fwd WHERE rn <= 20 AND target_id % 4 = 1 UNION ALL SELECT target_id, source_id, 1 / (7 + 1e-7) FROM neg WHERE rn <= 7 AND target_id % 4 = 3)
+SELECT cell_id, feat_id, round(value, 6) AS value, 'source' AS original_file, 'a' AS modality FROM ce WHERE cell_id % 2 = 0
+UNION ALL SELECT target_id, feat_id, round(sum(weight * value), 6), 't' || target_id % 4, CASE WHEN target_id % 4 = 1 THEN 'b' ELSE 'c' END FROM w JOIN ce ON ce.cell_id = source_id GROUP BY target_id, feat_id""",
+    "fuse_flags": f"""WITH {_EMB}, {_kruskal('emb', where='cell_id % 2 = 1', name='a')}, {_kruskal('emb', where='cell_id % 2 = 0', name='b')},
+com AS ((SELECT feat_id FROM a ORDER BY h DESC, feat_id LIMIT 40) INTERSECT (SELECT feat_id FROM b ORDER BY h DESC, feat_id LIMIT 40))
+SELECT DISTINCT feat_id, (feat_id IN (SELECT feat_id FROM com))::INT AS common_variable, m AS modality FROM emb CROSS JOIN (VALUES ('source'), ('target')) v(m)""",
     "constrained_knn_loose": f"WITH {_EMB}, {_z()} SELECT target_id, source_id, rn::INT AS rn FROM fwd WHERE rn <= {K}",
     "impute_knn": f"WITH {_EMB}, {_z()}, {_IMPUTED.format(src='emb')} SELECT cell_id, feat_id, round(value, 6) AS value FROM imp",
     "mnn_edges": f"WITH {_EMB}, {_z()} SELECT f.target_id, f.source_id FROM fwd f JOIN bwd b ON f.target_id = b.target_id AND f.source_id = b.source_id WHERE f.rn <= {MUTUAL} AND b.rn <= {MUTUAL}",
@@ -272,7 +451,7 @@ SQL = {
     "integrate_counts": f"WITH {_EMB}, {_z()}, {_IMPUTED.format(src='emb')} SELECT 'a' AS modality, 'source' AS original_file, count(DISTINCT cell_id) AS n_cells, count(DISTINCT feat_id) AS n_features, count(*) AS n_values FROM emb WHERE cell_id % 2 = 0 UNION ALL SELECT 'b', 'target', count(DISTINCT cell_id), count(DISTINCT feat_id), count(*) FROM imp",
     "strip_version": r"SELECT p_partkey, regexp_replace('G' || p_partkey || '.' || p_size || '.x', '\..*$', '') AS feat_id FROM part",
     "round_unit": "SELECT p_partkey, (ceil(p_size / 10.0) * 10)::BIGINT AS ceil, (floor(p_size / 10.0) * 10)::BIGINT AS floor, (CASE WHEN floor(p_size / 10.0) = 0 OR ceil(p_size / 10.0) * 10 - p_size < p_size - floor(p_size / 10.0) * 10 THEN ceil(p_size / 10.0) * 10 ELSE floor(p_size / 10.0) * 10 END)::BIGINT AS nearest FROM part",
-    "pct_common": f"WITH {_EMB}, {_hvf('0', 'vmr', 0.7, 'hv')} SELECT sum(variable) * 100.0::DOUBLE / count(*) AS pct FROM hv",
+    "pct_common": f"WITH {_EMB}, {_hvf('TRUE', 'vmr', 0.7, 'hv')} SELECT sum(variable) * 100.0::DOUBLE / count(*) AS pct FROM hv",
     "chromosomes": "SELECT * FROM (VALUES " + ", ".join(f"('chr{k}', {v}::BIGINT)" for k, v in scalar.MOUSE_CHROMOSOMES.items()) + ") t(chrom, length)",
     "valid_subset": f"WITH {_EMB} SELECT feat_id, count(*) AS n_cells FROM emb WHERE label % 3 <> 0 AND feat_id % 4 <> 0 GROUP BY 1",
     "scaled_values": f"WITH {_SUP} SELECT cell_id, feat_id, round(value / (cell_id + 1), 6) AS value FROM sup",

@@ -18,8 +18,9 @@ def test_round_unit(spark):
 
 
 def test_natural_order(spark):
-    items = ["a10", "A2", "a1", "b", "a2b3", "a2b12"]
-    want = ["a1", "A2", "a2b3", "a2b12", "a10", "b"]
+    long = "a" + "9" * 30
+    items = ["a10", "A2", "a1", "b", "a2b3", "a2b12", long, "a1" + "0" * 30, "5a", " 5", "a" + "0" * 25 + "3"]
+    want = ["5a", " 5", "a1", "A2", "a2b3", "a2b12", "a" + "0" * 25 + "3", "a10", long, "a1" + "0" * 30, "b"]
     assert scalar.natural_sort(items) == want
     df = spark.createDataFrame([(x,) for x in items], "s string")
     assert [r.s for r in df.orderBy(scalar.natural_key(F.col("s"))).collect()] == want
@@ -35,6 +36,18 @@ def test_small_things(spark):
         stats.moments(spark.range(1), 2)
 
 
+def test_positions(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)], "x int").repartition(5)
+    assert [(r.x, r.pos) for r in rank.positions(df, [F.col("x")]).orderBy("x").collect()] == [(i, i + 1) for i in range(1000)]
+
+
+def test_nan_matrix(spark):
+    got = [(r.cell_id, r.feat_id) for r in scalar.nan_matrix(spark, 2, 3).where(F.isnan("value")).orderBy("cell_id", "feat_id").collect()]
+    assert got == [(i, j) for i in range(2) for j in range(3)] and scalar.nan_matrix(spark, 0, 3).count() == 0
+    with pytest.raises(ValueError):
+        scalar.nan_matrix(spark, -1, 3)
+
+
 def test_chi2():
     assert abs(stats.chi2_survival(16.918977604620448, 9) - 0.05) < 1e-9
     assert abs(stats.chi2_survival(9.487729036781154, 4) - 0.05) < 1e-9

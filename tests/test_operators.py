@@ -1,3 +1,6 @@
+import hashlib
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plexmat.functions import stats
 from plexmat.operators import decompose, features, impute, integrate, neighbors
+from plexmat.plans import fuse
 from plexmat.sources import modality
 from plexmat.sources.modality import Modality
 
@@ -38,6 +42,107 @@ def test_knn_exact_in_both_forms(spark):
     assert lists(neighbors.top_k(va, vb, 5, broadcast_bytes=0, block=10)) == want
     assert lists(neighbors.spearman_knn(a.values, b.values, 5, -1)) == dict(enumerate(knn(t, s, 5, -1).tolist()))
     assert neighbors.top_k(va, vb, 99).where("target_id = 0").count() == 37
+    assert lists(neighbors.bucketed_top_k(va, vb, 5, lists=4, probes=4)) == want
+    assert {len(x) for x in lists(neighbors.bucketed_top_k(va, vb, 20, lists=6, probes=1)).values()} == {20}
+    with pytest.raises(ValueError):
+        neighbors.top_k(va, vb, 5, "other")
+    with pytest.raises(Exception, match="values"):
+        neighbors.top_k(va, neighbors.vectors(make(spark, s[:, :5]).values, "value"), 5).collect()
+    assert neighbors.top_k(va, vb.limit(0), 5).count() == neighbors.top_k(va.limit(0), vb, 5).count() == 0
+
+
+def test_metrics(spark):
+    rng = np.random.default_rng(1)
+    t, s = rng.integers(0, 3, (11, 6)).astype(float), rng.integers(0, 3, (13, 6)).astype(float)
+    s[0] = 0
+    a, b = neighbors.value_vectors(make(spark, t)), neighbors.value_vectors(make(spark, s))
+    norm = lambda m: np.linalg.norm(m, axis=-1)
+    size = norm(t)[:, None] * norm(s)
+    d = {"euclidean": norm(t[:, None] - s), "manhattan": np.abs(t[:, None] - s).sum(2), "hamming": (t[:, None] != s).sum(2), "angular": np.sqrt(np.maximum(2 - 2 * np.divide(t @ s.T, size, out=np.zeros_like(size), where=size > 0), 0)), "dot": -t @ s.T}
+    for metric, want in d.items():
+        assert lists(neighbors.top_k(a, b, 4, metric)) == dict(enumerate(np.argsort(np.round(want, 9), axis=1, kind="stable")[:, :4].tolist()))
+
+
+def test_bucketed_search_recall(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16)) * 3
+    s, t = (centres[rng.integers(0, 20, n)] + rng.normal(size=(n, 16)) for n in (1500, 200))
+    a, b = make(spark, t), make(spark, s)
+    exact, near = (lists(neighbors.spearman_knn(a, b, 10, search=f)) for f in (neighbors.top_k, neighbors.bucketed_top_k))
+    assert sum(len({*exact[i]} & {*near[i]}) for i in exact) >= 0.9 * 10 * len(exact)
+
+
+def sparse(spark, m, name="m", cluster=None):
+    """The modality of a matrix whose zeros are absent."""
+    full = make(spark, m, name, cluster)
+    return replace(full, values=full.values.where("value <> 0"), sparse=True)
+
+
+def test_sparse_is_dense_with_zeros(spark):
+    rng = np.random.default_rng(4)
+    for low in (0, -2):
+        t, s = (rng.integers(low, 3, (n, 15)) * rng.integers(0, 2, (n, 15)) for n in (24, 30))
+        t[0], s[0] = 0, 0
+        t[1, :], t[1, 2] = 0, 5
+        a, b = sparse(spark, t, "t"), sparse(spark, s, "s")
+        want = dict(enumerate(knn(t[1:], s[1:], 5).tolist(), 1))
+        assert lists(neighbors.spearman_knn(a, b, 5)) == {k: [x + 1 for x in v] for k, v in want.items()}
+        assert lists(neighbors.top_k(neighbors.score_vectors(a), neighbors.score_vectors(b), 5, broadcast_bytes=0, block=7)) == {k: [x + 1 for x in v] for k, v in want.items()}
+        c, d = make(spark, t, "t"), make(spark, s, "s")
+        assert lists(neighbors.top_k(neighbors.value_vectors(a), neighbors.value_vectors(d), 3, "euclidean")) == {i: x for i, x in lists(neighbors.top_k(neighbors.value_vectors(c), neighbors.value_vectors(d), 3, "euclidean")).items() if i}
+        for axis in (0, 1, None):
+            key = [] if axis is None else [("cell_id", "feat_id")[axis]]
+            x, y = (m.moments(axis).toPandas().sort_values(key or "mean").reset_index(drop=True) for m in (a, c))
+            assert np.allclose(x[["mean", "std", "n"]], y[["mean", "std", "n"]])
+        cluster = np.arange(24) % 4
+        x, y = (features.kruskal_features(m).toPandas().sort_values("feat_id")["h"] for m in (sparse(spark, t, cluster=cluster), make(spark, t, cluster=cluster)))
+        assert np.allclose(x, y)
+        p, q = (np.array(decompose.pca(m, 4).toPandas().sort_values("cell_id")["vec"].tolist()) for m in (a, c))
+        assert np.allclose(p @ p.T, q @ q.T)
+        x, y = (impute.impute(u, v, v.features, k=4).values.toPandas().pivot(index="cell_id", columns="feat_id", values="value").fillna(0) for u, v in ((a.where(cells=F.col("cell_id")), b.where(cells=F.col("cell_id"))), (c.where(cells=F.col("cell_id")), d.where(cells=F.col("cell_id")))))
+        assert np.allclose(x.reindex(columns=y.columns, fill_value=0), y)
+    with pytest.raises(Exception, match="sparse"):
+        neighbors.top_k(neighbors.vectors(a.values, "value"), neighbors.vectors(b.values, "value"), 2).collect()
+
+
+def in_turn(dots, k, relaxation, speed, seed=23):
+    """Neighbours when targets choose one after the other."""
+    n_t, n_s = dots.shape
+    cap, degree, out, left, turn = neighbors.saturation(n_t, n_s, k, relaxation), [0] * n_s, {}, list(range(n_t)), 0
+    while left:
+        open_ = [x for x in range(n_s) if degree[x] < cap]
+        if len(open_) < k:
+            return None
+        wait = []
+        for t in sorted(left, key=lambda t: (hashlib.md5(f"{t}:{seed}:{turn}".encode()).hexdigest(), t)):
+            cand = sorted(open_, key=lambda x: (-dots[t, x], x))[: k * speed]
+            free = [x for x in cand if degree[x] < cap][:k]
+            if len(free) < k:
+                wait.append(t)
+                continue
+            out[t] = free
+            for x in free:
+                degree[x] += 1
+        if len(wait) == len(left):
+            return None
+        left, turn = wait, turn + 1
+    return out
+
+
+def test_capped_neighbours_are_those_of_turns(spark):
+    rng = np.random.default_rng(12)
+    passes = 0
+    for n_t, n_s, k, relaxation, speed in ((40, 30, 4, 1.0, 3), (60, 25, 3, 1.02, 2), (30, 30, 2, 0.9, 8)):
+        t, s = rng.normal(size=(n_t, 5)) + 2, rng.normal(size=(n_s, 5)) + 2
+        a, b = (neighbors.value_vectors(make(spark, m)) for m in (t, s))
+        want = in_turn(np.round(t @ s.T, 9), k, relaxation, speed)
+        passes += want is not None
+        if want is None:
+            with pytest.raises(RuntimeError):
+                neighbors.capped_top_k(a, b, k, relaxation, speed)
+        else:
+            assert lists(neighbors.capped_top_k(a, b, k, relaxation, speed)) == want
+    assert passes
 
 
 def test_constrained_knn(spark):
@@ -87,6 +192,82 @@ def test_mutual_and_rescue(spark):
         neighbors.check_ka(1, 5)
 
 
+def test_stored_neighbours_and_shared_features(spark):
+    rng = np.random.default_rng(8)
+    t, s = make(spark, rng.normal(size=(9, 7)), "t"), make(spark, rng.normal(size=(20, 7)), "s")
+    edges = neighbors.constrained_knn(t, s, 6)
+    own = lambda m: m.values.orderBy("cell_id", "feat_id").toPandas()
+    assert np.allclose(own(impute.impute(t, s, s.features, k=3, edges=edges)), own(impute.impute(t, s, s.features, k=3)))
+    with pytest.raises(ValueError):
+        impute.impute(t, s, s.features, k=7, edges=edges)
+    part = t.only_features(t.features.where("feat_id > 2"))
+    got = impute.impute(part, s, s.features.where("feat_id > 3"), k=3)
+    assert {r.feat_id for r in got.values.select("feat_id").distinct().collect()} == {r.feat_id for r in got.features.collect()} == {3, 4, 5, 6}
+    with pytest.raises(ValueError):
+        impute.impute(part, s, s.features, k=3)
+    assert neighbors.adjacency(edges, 9).agg(F.sum("weight")).first()[0] == 54
+    with pytest.raises(ValueError):
+        neighbors.adjacency(edges, 10)
+
+
+def test_targets_have_their_own_parameters(spark):
+    rng = np.random.default_rng(13)
+    cells = lambda n, name, **more: replace(make(spark, rng.normal(size=(n, 6)) + 3, name, np.arange(n) % 3), **more)
+    s, a, b = cells(30, "s"), cells(9, "a"), cells(8, "b")
+    b = replace(b, cells=b.cells.withColumn("ok", F.col("cell_id") % 2), features=b.features.withColumn("use", F.lit(1)))
+    targets = fuse.targets_of([a, b], k=[2, 5], correlation=["+", "neg"], label=["x", "y"], valid_cells=[None, "ok"], valid_features=[None, "use"])
+    got = fuse.fuse_all(s, targets, n_markers=6, source_label="s")
+    assert {r.modality: r.n for r in got.table.groupBy("modality").agg(F.countDistinct("cell_id").alias("n")).collect()} == {"s": 30, "x": 9, "y": 4}
+    alone = impute.impute(b.where(cells=F.col("ok")), s, s.features, correlation=-1, k=5).values.toPandas().sort_values(["cell_id", "feat_id"])
+    assert np.allclose(alone, got.imputed[1].values.toPandas().sort_values(["cell_id", "feat_id"]))
+    assert all(m.features.where("common_variable = 1").count() == 6 for m in (got.source, *got.targets))
+    with pytest.raises(ValueError):
+        fuse.targets_of([a, b], k=[1, 2, 3])
+    with pytest.raises(ValueError):
+        fuse.targets_of("a")
+    v = Modality("v", b.cells, b.features.withColumn("feat_id", F.concat("feat_id", F.lit(".1"))), b.values.withColumn("feat_id", F.concat("feat_id", F.lit(".1"))))
+    assert {r.feat_id for r in fuse.Target(v, remove_version=True).ready().modality.features.collect()} == set("012345")
+    assert {r.feat_id for r in fuse.Target(v, remove_version=False).ready(True).modality.features.collect()} == {f"{i}.1" for i in range(6)}
+
+
+def test_layers(spark, tmp_path):
+    m = make(spark, np.arange(12.0).reshape(4, 3))
+    m = m.with_layer("twice", m.values.withColumn("value", F.col("value") * 2))
+    assert modality.layer_list("a") == modality.layer_list(["a", "", "a"]) == ["", "a"] and modality.layer_list(None) == [""]
+    with pytest.raises(ValueError):
+        modality.layer_list(3)
+    with pytest.raises(ValueError):
+        m.layer("other")
+    path = str(tmp_path / "m")
+    m.write(path)
+    more = replace(make(spark, np.ones((2, 3)), ids=[8, 9]), name="m").with_layer("twice", m.values.limit(0))
+    more.write(path, "append", empty_base=True)
+    back = modality.read(spark, path, "m", "twice")
+    assert back.cells.count() == 6 and back.features.count() == 3 and back.values.count() == 12
+    assert back.layer("twice").values.agg(F.sum("value")).first()[0] == 132 and modality.read(spark, path, "m").layers == {}
+    for wrong in (replace(more, layers={}), replace(more, features=more.features.limit(2), values=more.values.where("feat_id < 0")), replace(more, cells=more.cells.limit(1))):
+        with pytest.raises(ValueError):
+            wrong.write(path, "append")
+    with pytest.raises(ValueError):
+        modality.read(spark, path, "m", "none")
+
+
+def test_reshaping(spark):
+    v = spark.createDataFrame([(0, 1, 2.0), (1, 0, 3.0)], "row int, col int, value double")
+    rows, cols = spark.createDataFrame([(0, 4), (1, 2)], "pos int, full int"), spark.createDataFrame([(0, 7), (1, 0)], "pos int, full int")
+    assert sorted(map(tuple, modality.expand(v, rows, cols, 5, 8).collect())) == [(2, 7, 3.0), (4, 0, 2.0)]
+    assert sorted(map(tuple, modality.expand(v, cols=cols, n_cols=8).collect())) == [(0, 0, 2.0), (1, 7, 3.0)]
+    with pytest.raises(ValueError):
+        modality.expand(v, rows, n_cols=3)
+    with pytest.raises(Exception, match="outside"):
+        modality.expand(v, rows, cols, 3, 8).collect()
+    cells = spark.createDataFrame([(1,), (2,)], "cell_id int")
+    part = spark.createDataFrame([(1, [1.0, 2.0], 5)], "cell_id int, vec array<double>, n int")
+    assert sorted(map(tuple, modality.reindexed(part, cells).collect())) == [(1, [1.0, 2.0], 5), (2, [0.0, 0.0], 0)]
+    wide = spark.createDataFrame([(1, 2.0, 3.0)], "cell_id int, a double, b double")
+    assert sorted(map(tuple, modality.melt(wide, "cell_id").collect())) == [(1, "a", 2.0), (1, "b", 3.0)]
+
+
 def test_feature_selection(spark):
     rng = np.random.default_rng(9)
     m = make(spark, rng.gamma(2, 2, (50, 40)), cluster=np.arange(50) % 5)
@@ -144,6 +325,9 @@ def test_pca(spark):
     assert q.shape == (60, 2) and abs((q**2).mean() - 1) < 1e-9
     with pytest.raises(ValueError):
         decompose.pca(m, 9)
+    x = rng.normal(size=(80, 30)) * np.array([9, 7, 5, 3, *[0.3] * 26]) + 4
+    exact, near = (np.array(decompose.pca(make(spark, x), 3, most_features=f).toPandas().sort_values("cell_id")["vec"].tolist()) for f in (100, 5))
+    assert np.allclose(exact, near, atol=1e-6)
 
 
 def test_streaming_moments(spark, tmp_path):

@@ -15,7 +15,7 @@ def rows(frame):
     return sorted(tuple(repr(float(x)) if isinstance(x, (int, float)) else repr(x) for x in r) for r in frame[cols].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["kruskal_h_sparse", "hvf_vmr", "knn_negative", "impute_mnn_rescue", "fuse_pipeline", "round_unit"])
+@pytest.mark.parametrize("name", ["kruskal_h_sparse", "hvf_vmr", "knn_negative", "knn_sparse", "impute_mnn_rescue", "fuse_pipeline", "kruskal_p_10groups", "constrained_knn_tight", "natural_sort", "round_unit"])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
