@@ -89,28 +89,6 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, train: Column,
     return stored(texts, "sample"), (shares.get(0, 0), shares.get(1, 0))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, *, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """Whole texts of at most per_class training rows of either class, picked by a hash of their id, in that order.
-
-    The ids are picked from the narrow label table first (a top-k, so at most 2 * per_class rows reach the
-    driver and the broadcast); only their texts are read after that. A row without label or id is not picked;
-    of rows that repeat an id one counts.
-    """
-    spark = docs.sparkSession
-    lab = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1))
-    lab = lab.groupBy("_id").agg(F.max("_y").alias("_y"))
-    key = F.md5(F.col("_id").cast("string").cast("binary"))
-    present = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull())
-    rows: list = []
-    for y in (0, 1):
-        rows += lab.where((F.col("_y") == y) & train).join(present, "_id", "left_semi").withColumn("_k", key).orderBy("_k").limit(per_class).select("_id", "_y", "_k").collect()
-    if not rows:
-        return []
-    picked = spark.createDataFrame([(int(r._id), int(r._y), r._k) for r in rows], "_id long, _y int, _k string")
-    got = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(picked), "_id").groupBy("_id", "_y", "_k").agg(F.min("_t").alias("_t"))
-    return [(r._t, r._y) for r in sorted(got.collect(), key=lambda r: r._k)]
-
-
 def slices(batch: pa.RecordBatch, col: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `most` bytes of text."""
     size = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False)

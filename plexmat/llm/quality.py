@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,59 +16,98 @@ from plexmat.llm.shingles import U, mix
 #: Labelled documents of each class that the vectors and the network are learned from.
 SAMPLE = 3000
 THRESHOLD = 0.7
-#: Buckets of words, length of their vectors, words on either side that make a word's context.
+#: Vectors that the words share by their hash, half their length, words on either side that make a word's context.
 WORDS, DIM, NEAR = 1 << 14, 48, 2
+#: Entries of an index vector.
+ENTRIES = 4
+#: Words of a text that are worked on at once.
+STEP = 1 << 18
+#: Words whose sums travel as one row.
+BLOCK = 256
 HIDDEN, EPOCHS, BATCH = 32, 60, 64
 #: Runs of letters and digits are words, and so are runs of the other signs.
 _SIGN = np.array([33 <= i < 127 and not chr(i).isalnum() for i in range(256)])
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Word buckets of the texts (words and runs of signs in turn), and the texts' offsets. Case matters."""
     data, off = shingles.raw(texts)
     h1, s1, _ = shingles.spans(data, off, shingles.IN_WORD)
     h2, s2, _ = shingles.spans(data, off, _SIGN)
     at = np.concatenate((s1, s2))
     order = np.argsort(at, kind="stable")
-    return (np.concatenate((h1, h2))[order] & U(WORDS - 1)).astype(np.int64), np.searchsorted(at[order], off)
+    return (np.concatenate((h1, h2))[order] % U(words)).astype(np.int64), np.searchsorted(at[order], off)
+
+
+def index_entries(n: int = WORDS, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the ENTRIES entries of +1 or -1 that each word's sparse random index vector is the sum of, from a hash."""
+    h = mix(np.arange(n, dtype=U)[:, None] * U(8) + np.arange(ENTRIES, dtype=U))
+    return (h % U(dim)).astype(np.int64), np.where(h >> U(63), 1.0, -1.0)
 
 
 def index_vectors(n: int = WORDS, dim: int = DIM) -> np.ndarray:
-    """A sparse random vector of each bucket: four entries of +1 or -1, from a hash."""
+    at, sign = index_entries(n, dim)
     out = np.zeros((n, dim), np.float32)
-    for j in range(4):
-        h = mix(np.arange(n, dtype=U) * U(8) + U(j))
-        np.add.at(out, (np.arange(n), (h % U(dim)).astype(np.int64)), np.where(h >> U(63), 1.0, -1.0).astype(np.float32))
+    np.add.at(out, (np.repeat(np.arange(n), ENTRIES), at.ravel()), sign.ravel())
     return out
 
 
-def word_vectors(texts: list[str]) -> np.ndarray:
-    """Each bucket's index vector beside the direction of the sum of its neighbours' index vectors over the texts."""
-    index = index_vectors()
-    context = np.zeros_like(index)
-    for i in range(0, len(texts), 200):
-        t, off = tokens(pa.array(texts[i : i + 200], pa.string()))
-        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+def contexts(texts: pa.Array, at: np.ndarray, sign: np.ndarray, into: np.ndarray) -> None:
+    """Add to each word's row the index vectors of the words up to NEAR places from it in the texts. Whole numbers, so their order is free."""
+    words, dim = into.shape
+    t, off = tokens(texts, words)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    for s in range(0, len(t), STEP):
         for d in range(1, NEAR + 1):
-            same = doc[d:] == doc[:-d]
-            a, b = t[:-d][same], t[d:][same]
-            for x, y in ((a, b), (b, a)):
-                order = np.argsort(x, kind="stable")
-                x, y = x[order], y[order]
-                if len(x):
-                    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-                    context[x[at]] += np.add.reduceat(index[y], at, axis=0)
-    length = np.linalg.norm(context, axis=1, keepdims=True)
+            end = min(s + STEP, len(t) - d)
+            same = np.flatnonzero(doc[s:end] == doc[s + d : end + d]) + s
+            x, y = np.concatenate((t[same], t[same + d])), np.concatenate((t[same + d], t[same]))
+            for k in range(ENTRIES):
+                into += np.bincount(x * dim + at[y, k], sign[y, k], words * dim).astype(np.int64).reshape(words, dim)
+
+
+def with_contexts(index: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Each word's index vector beside the direction of its context."""
+    length = np.linalg.norm(context.astype(np.float64), axis=1, keepdims=True)
     return np.concatenate((index / 2, context / np.maximum(length, 1)), axis=1).astype(np.float32)
 
 
+def word_vectors(docs: DataFrame, text_col: str, words: int, dim: int) -> np.ndarray:
+    """with_contexts() of the sums over all texts of docs: one pass without labels, summed in each task, then by blocks of words."""
+    common.small_batches(docs.sparkSession)
+    at, sign = index_entries(words, dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros((words, dim), np.int64)
+        for batch in batches:
+            for part in common.slices(batch, "_t"):
+                contexts(part.column("_t"), at, sign, own)
+        some = [i for i in range(0, words, BLOCK) if own[i : i + BLOCK].any()]
+        yield pa.RecordBatch.from_pydict({"_b": pa.array(some, pa.int32()), "_v": pa.array([own[i : i + BLOCK].tobytes() for i in some], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, v in zip(batch.column("_b").to_pylist(), batch.column("_v").to_pylist()):
+                v = np.frombuffer(v, np.int64)
+                held[i] = held[i] + v if i in held else v
+        yield pa.RecordBatch.from_pydict({"_b": pa.array(list(held), pa.int32()), "_v": pa.array([v.tobytes() for v in held.values()], pa.binary())})
+
+    got = docs.select(common.text_of(text_col).alias("_t")).mapInArrow(run, "_b int, _v binary").repartition("_b").mapInArrow(add, "_b int, _v binary")
+    context = np.zeros((words, dim), np.int64)
+    for r in got.collect():
+        context[r._b : r._b + BLOCK] = np.frombuffer(r._v, np.int64).reshape(-1, dim)
+    return with_contexts(index_vectors(words, dim), context)
+
+
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """Of each text: the mean of its words' vectors, the mean of their squares, of the products of neighbours, and its log length."""
-    t, off = tokens(texts)
+    t, off = tokens(texts, len(vectors))
     dim = vectors.shape[1]
-    out = np.zeros((len(off) - 1, dim * 2 + DIM + 1), np.float32)
+    half = dim // 2
+    out = np.zeros((len(off) - 1, dim * 2 + half + 1), np.float32)
     n = np.diff(off)
-    step = 1 << 14
+    step = 1 << 14  # words of a run
     for i in np.flatnonzero(n).tolist():
         a, b = off[i], off[i + 1]
         for s in range(a, b, step):
@@ -75,7 +115,7 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
             u = v[:step]
             out[i, :dim] += u.sum(axis=0)
             out[i, dim : 2 * dim] += np.einsum("ij,ij->j", u, u)
-            out[i, 2 * dim : 2 * dim + DIM] += np.einsum("ij,ij->j", v[:-1, :DIM], v[1:, :DIM])
+            out[i, 2 * dim : 2 * dim + half] += np.einsum("ij,ij->j", v[:-1, :half], v[1:, :half])
     out[:, :-1] /= np.maximum(n, 1)[:, None]
     out[:, -1] = np.log1p(n)
     return out
@@ -91,25 +131,31 @@ class Model:
     w2: np.ndarray
     b2: float
     temperature: float
+    shift: float
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum((x - self.mean) / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return _sigmoid(self.logits(x).astype(np.float64) / self.temperature + self.shift)
+
     def scores(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(pooled(texts, self.vectors)).astype(np.float64) / self.temperature, -30, 30)))
+        return self.probabilities(pooled(texts, self.vectors))
 
 
-def learn(sample: list[tuple[str, int]], seed: int = 7) -> Model | None:
-    """Vectors from all texts of the sample, the network from four fifths (Adam, weight decay), the temperature from the rest.
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    Classes weigh alike in training; the calibration shifts the logits back to the sample's shares.
+
+def learn(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, shares: tuple[int, int], seed: int = 7) -> Model | None:
+    """The network from four fifths of the pooled texts x (Adam, weight decay), the temperature from the rest.
+
+    Classes weigh alike in training. The logits are then shifted by the log odds of `shares`, the numbers of rows of
+    class 0 and 1 that the sample stands for, and the temperature makes the held fifth likeliest with its classes
+    weighted to these shares; so a score is a share of documents like the training rows.
     """
-    y = np.array([v for _, v in sample], np.float32)
     if len(set(y.tolist())) < 2:
         return None
-    texts = [t for t, _ in sample]
-    vectors = word_vectors(texts)
-    x = np.concatenate([pooled(pa.array(texts[i : i + 200], pa.string()), vectors) for i in range(0, len(texts), 200)])
     rng = np.random.default_rng(seed)
     fold = rng.permutation(len(y)) % 5 == 0
     if len(set(y[fold].tolist())) < 2 or len(set(y[~fold].tolist())) < 2:
@@ -125,30 +171,50 @@ def learn(sample: list[tuple[str, int]], seed: int = 7) -> Model | None:
             i = order[s : s + BATCH]
             h = z[i] @ p[0] + p[1]
             a = np.maximum(h, 0)
-            g = (1 / (1 + np.exp(-np.clip(a @ p[2] + p[3], -30, 30))) - t[i]) * weight[i] / len(i)
+            g = (_sigmoid(a @ p[2] + p[3]) - t[i]) * weight[i] / len(i)
             back = np.outer(g, p[2]) * (h > 0)
             step += 1
             for j, d in enumerate((z[i].T @ back + 1e-4 * p[0], back.sum(axis=0), a.T @ g + 1e-4 * p[2], g.sum(keepdims=True))):
                 m[j] = 0.9 * m[j] + 0.1 * d
                 v[j] = 0.999 * v[j] + 0.001 * d * d
                 p[j] = p[j] - 3e-3 * (m[j] / (1 - 0.9**step)) / (np.sqrt(v[j] / (1 - 0.999**step)) + 1e-8)
-    model = Model(vectors, mean, scale, p[0], p[1], p[2], float(p[3][0]), 1.0)
+    model = Model(vectors, mean, scale, p[0], p[1], p[2], float(p[3][0]), 1.0, float(np.log(shares[1] / shares[0])))
     if fold.any():
-        logit, truth = model.logits(x[fold]), y[fold]
+        logit, truth = model.logits(x[fold]).astype(np.float64), y[fold]
+        own = np.where(truth == 1, shares[1] / max(truth.sum(), 1), shares[0] / max((1 - truth).sum(), 1))
         grid = np.exp(np.linspace(np.log(0.5), np.log(8), 60))
-        q = [np.clip(1 / (1 + np.exp(-np.clip(logit / c, -30, 30))), 1e-6, 1 - 1e-6) for c in grid]
-        model.temperature = float(grid[int(np.argmin([-np.mean(truth * np.log(a) + (1 - truth) * np.log(1 - a)) for a in q]))])
+        q = [np.clip(_sigmoid(logit / c + model.shift), 1e-6, 1 - 1e-6) for c in grid]
+        model.temperature = float(grid[int(np.argmin([-np.sum(own * (truth * np.log(a) + (1 - truth) * np.log(1 - a))) for a in q]))])
     return model
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, parts: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, parts: int = 4, held: int = 2, words: int = WORDS, dim: int = DIM) -> Model | None:
+    """learn() from at most `sample` labelled documents of either class outside the held-out fold, with word vectors of all documents.
+
+    The texts stay in Spark; to the driver come `words` vectors and one pooled vector for each sampled document.
+    """
+    texts, shares = common.labelled_rows(docs, labels, "quality", common.fold_of("_id", parts) != held, sample, id_col=id_col, text_col=text_col)
+    if not all(shares):
+        return None
+    vectors = word_vectors(docs, text_col, words, dim)
+
+    def run(b: pa.RecordBatch) -> dict:
+        return {"_k": b.column("_k"), "_y": b.column("_y"), "_v": pa.array([v.tobytes() for v in pooled(b.column("_t"), vectors)], pa.binary())}
+
+    rows = sorted(common.map_text(texts, run, "_k string, _y int, _v binary").collect(), key=lambda r: r._k)
+    return learn(np.array([np.frombuffer(r._v, np.float32) for r in rows]), np.array([r._y for r in rows], np.float32), vectors, shares)
+
+
+def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, parts: int = 4, held: int = 2, threshold: float = THRESHOLD, words: int = WORDS, dim: int = DIM) -> DataFrame:
     """(id, held_out, score, predicted) of each row, by a model learned from at most `sample` labelled documents of either class
-    outside the held-out fold (crc32 of the id as text modulo parts).
+    outside the held-out fold (crc32 of the id as text modulo parts). Words share `words` vectors of 2 * `dim` numbers by their hash.
 
     A null text counts as empty; an empty text is scored as one of no words. Without labels of both classes every
-    score is 0.5. Repeated rows are scored each; an empty table gives an empty result. One pass, no shuffle.
+    score is 0.5. Rows without an id or a label are scored, not learned from; of rows that repeat an id the larger label
+    and the smaller text count. Repeated rows are scored each; an empty table gives an empty result. A long text is pooled
+    whole, in runs of bounded memory. Ids may be of any type; other columns, whatever their names, are ignored.
     """
-    model = learn(common.labelled_sample(docs, labels, "quality", common.fold_of("_id", parts) != held, sample, id_col=id_col, text_col=text_col))
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, sample=sample, parts=parts, held=held, words=words, dim=dim)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(F.col(id_col).alias("_i"), common.text_of(text_col).alias("_t"))
 
