@@ -121,52 +121,52 @@ def likeness(a: np.ndarray, fa: bool, b: np.ndarray, fb: bool) -> float:
 
 
 def ordered_with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """(_p, _id, _t, _guest): rows dealt by ranges of descending id, each range in its order within one partition, with the
-    first row of the range that follows (after the last: of the first) as its last row, marked as guest.
+    """(_p, _id, _t, _guest): rows dealt by ranges of descending (id, hash of the text), each range in its order within one
+    partition, with the first row of the range that follows (after the last: of the first) as its last row, marked as guest.
 
-    Range bounds are approximate quantiles of the ids (`parts` numbers on the driver); a range's first id comes from
-    one aggregate of as many rows. The texts are shuffled once.
+    The ranges are those into which Spark deals the narrow keys; each range's first key comes to the driver (`parts`
+    rows) and goes to the tasks as one array, in which a row finds its range by binary search. A repeated id is parted by
+    its texts' hashes, so only rows that repeat id and text stay together. The texts are shuffled once.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), common.text_of(text_col).alias("_t"))
-    ids = base.select("_id").where(F.col("_id").isNotNull())
-    cuts = sorted({int(x) for x in ids.approxQuantile("_id", [i / parts for i in range(1, parts)], 0.1 / parts)} if parts > 1 else set(), reverse=True)
-    p = F.lit(0)
-    if cuts:
-        bounds = F.array(*map(F.lit, cuts))
-        steps = [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
-        # Number of bounds over the id, by binary search; null ids come last.
-        p = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when((at + s <= len(cuts)) & (F.try_element_at(bounds, F.greatest(F.least(at + s, F.lit(len(cuts))), F.lit(1))) > F.col("_id")), at + s).otherwise(at))
-        p = F.coalesce(F.when(F.col("_id").isNull(), F.lit(len(cuts))), p)
-    firsts = base.select("_id", p.alias("_p")).groupBy("_p").agg(F.max("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).orderBy("_p").collect()
+    key = F.struct(F.col("_id").alias("i"), F.xxhash64("_t").alias("h"))
+    base = docs.select(F.col(id_col).alias("_id"), common.text_of(text_col).alias("_t")).withColumn("_k", key)
+    ranges = base.select("_k").repartitionByRange(parts, F.col("_k").desc())
+    firsts = sorted((r._f for r in ranges.groupBy(F.spark_partition_id().alias("_p")).agg(F.max("_k").alias("_f")).collect()), key=lambda f: (f.i is not None, f.i if f.i is not None else 0, f.h), reverse=True)
     if not firsts:
         return base.select(F.lit(0).alias("_p"), "_id", "_t", F.lit(False).alias("_guest"))
-    before = {firsts[i]._p: firsts[i - 1]._p for i in range(len(firsts))}  # the first range is a guest of the last
-    known = F.create_map(*(F.lit(x) for r in firsts for x in (r._p, F.struct(F.lit(r._first).cast("long").alias("f"), F.lit(before[r._p]).alias("h")))))
-    at = known[F.col("_p")]
-    homes = F.when(F.col("_id").eqNullSafe(at["f"]), F.array(F.struct(F.col("_p").alias("p"), F.lit(False).alias("g")), F.struct(at["h"].alias("p"), F.lit(True).alias("g")))).otherwise(F.array(F.struct(F.col("_p").alias("p"), F.lit(False).alias("g"))))
-    dealt = base.withColumn("_p", p).select(F.explode(homes).alias("_h"), "_id", "_t").select(F.col("_h.p").alias("_p"), "_id", "_t", F.col("_h.g").alias("_guest"))
-    return dealt.repartitionById(len(cuts) + 1, F.col("_p")).sortWithinPartitions("_guest", F.col("_id").desc_nulls_last(), "_t")
+    kind = base.schema["_k"].dataType.simpleString()
+    known = docs.sparkSession.createDataFrame([(firsts,)], f"_firsts array<{kind}>")
+    steps = F.array(*(F.lit(1 << i) for i in range(len(firsts).bit_length() - 1, -1, -1)))
+    # Number of first keys from the row's own on, less one.
+    upto = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(firsts)) & (F.get("_firsts", at + s - 1) >= F.col("_k")), at + s).otherwise(at))
+    own = base.join(F.broadcast(known)).withColumn("_p", upto - 1)
+    home = F.array(F.struct(F.col("_p").alias("p"), F.lit(False).alias("g")))
+    host = F.pmod(F.col("_p") - 1, F.lit(len(firsts)))
+    homes = F.when(F.get("_firsts", "_p") == F.col("_k"), F.concat(home, F.array(F.struct(host.alias("p"), F.lit(True).alias("g"))))).otherwise(home)
+    dealt = own.select(F.explode(homes).alias("_h"), "_id", "_k", "_t").select(F.col("_h.p").alias("_p"), "_id", "_k", "_t", F.col("_h.g").alias("_guest"))
+    return dealt.repartitionById(len(firsts), F.col("_p")).sortWithinPartitions("_guest", F.col("_k").desc(), "_t").drop("_k")
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, parts: int | None = None) -> DataFrame:
     """Every row's fingerprint beside that of its edited text: the last floor(n / 3) code points replaced by the first as many
     (or all) of the next row in descending id, the first row's after the last.
 
-    Null text counts as empty. Rows of one id follow in the order of their texts; null ids come last. A single row is its
-    own next. Two empty texts have likeness 1, an empty and another 0. An empty table gives an empty result.
+    Null text counts as empty. Rows of one id follow in the order of a hash of their texts; null ids come last. A single row
+    is its own next. Two empty texts have likeness 1, an empty and another 0. A long text counts whole. An empty table
+    gives an empty result. Ids may be of any type that has an order; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     rows = ordered_with_next(docs, id_col, text_col, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def kernel(ids: list, texts: list[str]) -> pa.RecordBatch:
+    def kernel(ids: list, texts: list[str], kind: pa.DataType) -> pa.RecordBatch:
         """Results of all but the last row."""
         n = len(ids) - 1
         edited = [t[: len(t) - len(t) // 3] + u[: len(t) // 3] for t, u in zip(texts, texts[1:])]
         both, some = fingerprint_texts(pa.array(texts + edited, pa.string()), samples)
         (sig, esig), (full, efull) = np.split(both, [n + 1]), np.split(some, [n + 1])
         return pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(ids[:n], pa.int64()),
+            "doc_id": pa.array(ids[:n], kind),
             "n_chars": pa.array([len(t) for t in texts[:n]], pa.int64()),
             "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
             "fingerprint": pa.array([as_string(sig[i], full[i]) for i in range(n)], pa.string()),
@@ -176,22 +176,23 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, total, guests, least = [], [], 0, 0, None
+        ids, texts, total, guests, kind = [], [], 0, 0, pa.int64()
         for batch in batches:
+            kind = batch.column("_id").type
             for i, t, g in zip(batch.column("_id").to_pylist(), batch.column("_t").to_pylist(), batch.column("_guest").to_pylist()):
                 guests += g
-                if guests > 1:  # rows that share the first id: the first of them in order is the next one
+                if guests > 1:  # rows that share the first key are the same: one of them is the next one
                     continue
                 ids.append(i)
                 texts.append(t)
                 total += len(t)
                 if total > common.CHUNK_BYTES and len(ids) > 1:
-                    yield kernel(ids, texts)
+                    yield kernel(ids, texts, kind)
                     ids, texts, total = ids[-1:], texts[-1:], len(t)
         if len(ids) > 1:
-            yield kernel(ids, texts)
+            yield kernel(ids, texts, kind)
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['_id'].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
