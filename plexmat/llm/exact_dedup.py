@@ -21,17 +21,22 @@ def normalised(col: str = "text"):
 
 def _decided(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX_CHARS, broadcast_rows: int = BROADCAST_ROWS, digest_all: bool = False) -> DataFrame:
     """exact_dedup() with _x, the hash of the raw text, as a further column."""
-    base = docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_n"), F.xxhash64(common.text_of(text_col)).alias("_x"))
-    sketch = base.select("_id", F.length("_n").alias("_len"), F.xxhash64(F.substring("_n", 1, prefix)).alias("_p"))
+    text, clean = common.text_of(text_col), normalised(text_col)
+    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_x"), clean.alias("_n"))
+    digest = F.sha2("_n", 256)
+    sketch = base.select("_id", "_x", F.length("_n").alias("_len"), F.xxhash64(F.substring("_n", 1, prefix)).alias("_p"), (digest if digest_all else F.lit(None).cast("string")).alias("_d"))
+    sketch = common.stored(sketch.withColumn("_r", F.monotonically_increasing_id()), "sketch")
     by_prefix = sketch.groupBy("_len", "_p").agg(F.count(F.lit(1)).alias("_c"))
     by_len = by_prefix.groupBy("_len").agg(F.sum("_c").alias("_l")).where(F.col("_l") > 1).select(F.col("_len").alias("_len1"))
-    live = by_prefix.where(F.col("_c") > 1).join(by_len, F.col("_len") == F.col("_len1"), "left_semi").select(F.col("_len").alias("_len2"), F.col("_p").alias("_p2"))
+    live = by_prefix.where(F.col("_c") > 1).join(by_len, F.col("_len") == F.col("_len1"), "left_semi").select(F.col("_len").alias("_len2"), F.col("_p").alias("_p2"), F.lit(True).alias("_live"))
     live = common.small(common.stored(live, "live"), broadcast_rows)
-    ids = sketch.join(live, (F.col("_len") == F.col("_len2")) & (F.col("_p") == F.col("_p2")), "left_semi").select(F.col("_id").alias("_live_id")).distinct()
-    ids = common.small(common.stored(ids, "survivors"), broadcast_rows).withColumn("_live", F.lit(True))
-    digest = F.sha2(F.col("_n"), 256)
-    rows = base.join(ids, F.col("_id").eqNullSafe(F.col("_live_id")), "left").select("_id", "_x", F.coalesce("_live", F.lit(False)).alias("_live"), digest.alias("_d") if digest_all else F.when(F.col("_live"), digest).alias("_d"))
-    rows = common.stored(rows.withColumn("_r", F.monotonically_increasing_id()), "digests")
+    rows = sketch.join(live, (F.col("_len") == F.col("_len2")) & (F.col("_p") == F.col("_p2")), "left").select("_id", "_x", "_r", "_d", F.coalesce("_live", F.lit(False)).alias("_live"))
+    if not digest_all:
+        ids = rows.where("_live").select(F.col("_id").alias("_i"), F.col("_x").alias("_h")).distinct()
+        ids = common.small(common.stored(ids, "survivors"), broadcast_rows)
+        content = base.join(ids, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_h")), "left_semi").select(F.col("_id").alias("_i"), F.col("_x").alias("_h"), digest.alias("_own")).distinct()
+        content = common.small(common.stored(content, "digests"), broadcast_rows)
+        rows = rows.join(content, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_h")), "left").select("_id", "_x", "_r", F.col("_own").alias("_d"), "_live")
     groups = rows.where("_live").groupBy("_d").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_r").alias("r"))).alias("_k"), F.count(F.lit(1)).alias("_size")).where(F.col("_size") > 1)
     # Named by an expression, the key is dealt anew for the join, on both sides, and a hot group's rows can be split.
     groups = groups.select(F.concat("_d", F.lit("")).alias("_g"), F.col("_k.i").alias("_keep"), F.col("_k.r").alias("_kr"), "_size").hint("merge")
@@ -47,22 +52,25 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     1. length: a text whose normalised length no other has is settled;
     2. prefix: of the rest, a text whose (length, hash of the prefix) no other has is settled;
-    3. content: only for the rest the full SHA-256 is taken and grouped (with digest_all it is reported for every
-       row, but still only the survivors are grouped).
-    Only ids, lengths and hashes are shuffled; counts are combined before the shuffle, so a group of a third of
+    3. content: only for the rest the full SHA-256 is taken and grouped (with digest_all it is asked for of every row,
+       so the first reading takes it, but still only the survivors are grouped).
+    The texts are read once for lengths and hashes, and again for the survivors' content. Only these are shuffled; counts are combined before the shuffle, so a group of a third of
     all rows costs one row per task. The members of a large group meet its summary in a sort-merge join whose
     partitions adaptive execution can split. Survivors' ids reach stage 3 by broadcast while they are at most
     broadcast_rows rows, by a shuffled join beyond.
 
     Null text counts as empty. keep_id is the smallest id of a group; null ids come last, and a group of null ids
-    alone has keep_id null. Of rows that repeat an id and a text, one is kept. An empty table gives an empty
-    result. Other columns are ignored, whatever their names.
+    alone has keep_id null. Of rows that repeat an id and a text, one is kept. Long texts are hashed whole. An empty
+    table gives an empty result. Ids may be of any type that has an order; other columns, whatever their names, are ignored.
     """
     return _decided(docs, id_col=id_col, text_col=text_col, **options).drop("_x")
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names.
+
+    Null and empty texts are equal; of rows that repeat an id and a text one stays; an empty table gives an empty result.
+    """
     found = _decided(docs, id_col=id_col, text_col=text_col, **options).where(F.col("group_size") > 1)
     return common.keep_rows(docs, found.select(F.col(id_col).alias("_i"), "_x", F.col("kept").alias("_k")), id_col, text_col, BROADCAST_ROWS)
 
