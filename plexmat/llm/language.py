@@ -13,13 +13,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plexmat.llm import common, shingles
 
 #: Documents and bytes of each language that its tree is learned from.
 SAMPLE, SAMPLE_BYTES = 400, 400_000
+#: Languages up to which their counts and samples' ids are broadcast.
+LANGUAGES = 1000
 ORDER = 3
 UNDETERMINED = "und"
 _PAD = "   "
@@ -179,32 +181,27 @@ def learn(samples: dict[str, list[str]]) -> Model | None:
 
 
 def training_texts(docs: DataFrame, train, *, id_col: str, text_col: str, lang_col: str, sample: int, sample_bytes: int) -> dict[str, list[str]]:
-    """Of each language the texts of at most `sample` training rows, and no more after sample_bytes, by a hash of their ids.
+    """Of each language the texts of at most `sample` training rows, in the order of a hash of their ids, as long as they come to
+    at most sample_bytes; of a language whose first text alone is longer, that many characters of it.
 
     Languages are counted first; from the counts a threshold on the hash follows for each, so that about 1.5 times the
-    sample of narrow rows comes to the driver, which picks from it. Then only the picked texts are read.
+    sample of narrow rows is ranked. Only the picked texts are read then. To the driver come sample_bytes a language.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).cast("string").alias("_l")).where(train & F.col("_id").isNotNull() & F.col("_l").isNotNull())
-    counts = {r._l: r.n for r in rows.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, (1.5 * sample + 30) / n))))
-    h = F.xxhash64("_id")
-    near = rows.where(F.pmod(h, F.lit(1 << 30)) < share[F.col("_l")] * (1 << 30)).select("_id", "_l", h.alias("_h")).distinct().collect()
-    picked, used = [], dict.fromkeys(counts, 0)
-    for r in sorted(near, key=lambda r: (r._h % (1 << 30), r._h, r._id, r._l)):
-        if used[r._l] < sample:
-            used[r._l] += 1
-            picked.append((r._id, r._l, len(picked)))
-    ids = spark.createDataFrame(picked, "_id long, _l string, _n int")
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).cast("string").alias("_l"), common.text_of(text_col).alias("_t")).join(F.broadcast(ids), ["_id", "_l"])
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_l")).where(F.col("_id").isNotNull() & F.col("_l").isNotNull()).where(train)
+    counts = common.small(common.stored(rows.groupBy("_l").agg(F.count(F.lit(1)).alias("_c")).select(F.col("_l").alias("_cl"), "_c"), "languages"), LANGUAGES)
+    h = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
+    near = rows.withColumn("_h", h).join(counts, F.col("_l") == F.col("_cl")).where(F.col("_h") * F.col("_c") < (1.5 * sample + 30) * (1 << 30)).select("_id", "_l", "_h").distinct()
+    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_id"))).where(F.col("_n") <= sample).select(F.col("_id").alias("_pid"), F.col("_l").alias("_pl"), "_n")
+    picked = common.small(common.stored(ranked, "picked"), LANGUAGES * sample)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_l"), common.text_of(text_col).alias("_t"))
+    texts = texts.join(picked, (F.col("_id") == F.col("_pid")) & (F.col("_l") == F.col("_pl"))).groupBy("_l", "_n").agg(F.min("_t").alias("_t"))
+    upto = F.sum(F.octet_length("_t")).over(Window.partitionBy("_l").orderBy("_n"))
+    first = F.row_number().over(Window.partitionBy("_l").orderBy("_n")) == 1
+    kept = texts.select("_l", "_n", "_t", (upto <= sample_bytes).alias("_in"), first.alias("_first")).where("_in or _first")
+    kept = kept.select("_l", "_n", F.when(F.col("_in"), F.col("_t")).otherwise(F.substring("_t", 1, sample_bytes)).alias("_t"))
     out: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
-    for r in sorted(texts.groupBy("_n", "_l").agg(F.min("_t").alias("_t")).collect(), key=lambda r: r._n):
-        if size.get(r._l, 0) < sample_bytes:
-            size[r._l] = size.get(r._l, 0) + len(r._t.encode())
-            out.setdefault(r._l, []).append(r._t)
+    for r in sorted(kept.collect(), key=lambda r: (r._l, r._n)):
+        out.setdefault(r._l, []).append(r._t)
     return out
 
 
@@ -213,8 +210,10 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     are not in the held-out fold (crc32 of the id as text modulo parts).
 
     The language is `und` and the score 0 if the text is null or has no letter, or if nothing could be learned. Rows
-    with a null id are predicted but not learned from. Ties go to the first language by name. Repeated rows are
-    predicted each; an empty table gives an empty result. Scoring is one pass without a shuffle.
+    with a null id are predicted but not learned from. Ties go to the first language by name; of rows that repeat an id
+    and a language the smallest text is learned. Repeated rows are predicted each; an empty table gives an empty
+    result. A long text is scored whole. Ids may be of any type; other columns, whatever their names, are ignored.
+    Scoring is one pass without a shuffle.
     """
     train = common.fold_of("_id", parts) != held
     model = learn(training_texts(docs, train, id_col=id_col, text_col=text_col, lang_col=lang_col, sample=sample, sample_bytes=sample_bytes))
