@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import json
 import math
 import re
 import zlib
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ K1, B = 1.2, 0.75
 END_ID = 0
 #: Words over which a tokenizer forgets all that it remembers.
 CACHE = 1_000_000
+#: Bytes of a word over which it is compared by itself.
+LONG = 128
 #: Binary logarithm of the slots of the table that holds them.
 SLOTS = 22
 
@@ -36,6 +40,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def default_specials() -> dict[str, int]:
+    """The strings that the vocabulary's JSON form gives an id of their own, in any text."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -53,21 +65,30 @@ _SPACE = _table(b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f ")
 _FAR = _table(b"\xc2\xe1\xe2\xe3")
 
 
+def _gathered(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all the spans, one after the other."""
+    return data[np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
 class Encoder:
     """Token ids of texts by byte-level BPE, with a memory of words.
 
     A space between two characters that aren't white space always begins a pre-token, and so does a line break
     there; so a text without adjacent white space is the concatenation of its words, each encoded with the space or
-    line break before it. Each word of a batch is encoded once, and remembered. Texts with adjacent white space, or
-    white space at either end, are encoded whole. Ids are those of the vocabulary's JSON form for the tokenizers
-    library, with the strings of special tokens as ordinary text.
+    line break before it. Each word of a batch is encoded once, and remembered; a remembered word is found by a hash and
+    its bytes are compared. Texts with adjacent white space, or white space at either end, are encoded whole. Special
+    strings have the ids given, and what stands between them is encoded by itself, as the tokenizers library does it
+    with the vocabulary's JSON form.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, specials: dict[str, int] | None = None):
         import tiktoken
 
+        self._specials = specials or {}
+        self._parts = re.compile("(" + "|".join(map(re.escape, sorted(self._specials, key=lambda s: (-len(s), s)))) + ")").split if self._specials else None
         self._ids = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._line = self._ids("\n")
+        self._bytes = np.zeros(65536, np.int64)
+        self._bytes[list(ranks.values())] = [len(x) for x in ranks]
         self._adjacent = re.compile(r"\s\s|^\s|\s\Z").search
         self._forget()
 
@@ -75,6 +96,8 @@ class Encoder:
         """An empty open-addressing table of word keys, with each word's place and length in the pool of ids."""
         self._key, self._entry = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
         self._pool, self._from, self._n = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # The words themselves: bytes (eight more at the end), places and lengths, and what stands before them.
+        self._text, self._at, self._size, self._lead = np.zeros(8, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _find(self, key: np.ndarray) -> np.ndarray:
         """Each key's entry, or -1."""
@@ -91,17 +114,63 @@ class Encoder:
             open_ = open_[~same & (there != 0)]
         return out
 
-    def _learn(self, keys: list[int], ids: list[list[int]]) -> None:
-        mask, k, e = (1 << SLOTS) - 1, self._key, self._entry
-        for i, key in enumerate(keys, len(self._n)):
-            slot = key & mask
-            while k[slot]:
-                slot = (slot + 1) & mask
-            k[slot], e[slot] = key, i
-        n = np.array([len(x) for x in ids], np.int64)
+    def _same(self, entry: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        """Whether the words are those of their entries. Up to seven bytes the key tells (see _keys()), beyond them the bytes are compared."""
+        ok = (self._size[entry] == size) & (self._lead[entry] == lead)
+        for i in np.flatnonzero(ok & (size > LONG)).tolist():
+            a = self._at[entry[i]]
+            ok[i] = np.array_equal(data[starts[i] : starts[i] + size[i]], self._text[a : a + size[i]])
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        there, known = (np.ndarray((len(x) - 7,), "<u8", x, 0, (1,)) for x in (padded, self._text))
+        live, step = np.flatnonzero(ok & (size > 7) & (size <= LONG)), 0
+        while len(live):
+            differs = (there[starts[live] + step] ^ known[self._at[entry[live]] + step]) & shingles.KEEP[np.minimum(size[live] - step, 8)] != 0
+            ok[live[differs]] = False
+            step += 8
+            live = live[~differs & (size[live] > step)]
+        return ok
+
+    @staticmethod
+    def _keys(h: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        """Keys of words with what stands before them, never 0. Words of up to seven bytes have keys of their own: their bytes, length
+        and lead in 64 bits, through a bijection (whose values 0 and 1, which share a key, come from no word)."""
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        first = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))[starts] & shingles.KEEP[np.minimum(size, 7)]
+        own = first ^ ((size | lead << 4).astype(np.uint64) << np.uint64(56))
+        return np.maximum(shingles.mix(np.where(size <= 7, own, h + lead.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), np.uint64(1))
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray, lead: np.ndarray) -> None:
+        """Encode new words and add them to the table. Those after a space or line break are encoded as one text, in which every
+        one begins with a pre-token; if some token should cross two of them, or a word begins its text, word by word."""
+        before = np.minimum(lead, 1)
+        joined = _gathered(data, starts - before, size + before)
+        upto = np.cumsum(size + before)
+        ids = np.array(self._ids(joined.tobytes().decode()), np.uint16)
+        ends = np.cumsum(self._bytes[ids])
+        at = np.searchsorted(ends, upto)
+        n = np.diff(at, prepend=-1)
+        if (lead == 0).any() or not np.array_equal(ends[np.minimum(at, len(ends) - 1)], upto):
+            lists = [self._ids(joined[b - k : b].tobytes().decode()) for b, k in zip(upto.tolist(), (size + before).tolist())]
+            n, ids = np.array([len(x) for x in lists], np.int64), np.fromiter(itertools.chain.from_iterable(lists), np.uint16)
+        entry = np.arange(len(self._n), len(self._n) + len(keys), dtype=np.int32)
+        slot, left = (keys & np.uint64((1 << SLOTS) - 1)).astype(np.intp), np.arange(len(keys))
+        while len(left):
+            free = left[self._key[slot[left]] == 0]
+            _, first = np.unique(slot[free], return_index=True)
+            free = free[first]
+            self._key[slot[free]], self._entry[slot[free]] = keys[free], entry[free]
+            left = np.setdiff1d(left, free, assume_unique=True)
+            slot[left] = slot[left] + 1 & (1 << SLOTS) - 1
         self._from = np.concatenate((self._from, len(self._pool) + np.cumsum(n) - n))
-        self._n = np.concatenate((self._n, n))
-        self._pool = np.concatenate((self._pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint16, int(n.sum()))))
+        self._n, self._pool = np.concatenate((self._n, n)), np.concatenate((self._pool, ids))
+        self._at = np.concatenate((self._at, len(self._text) - 8 + np.cumsum(size) - size))
+        self._size, self._lead = np.concatenate((self._size, size)), np.concatenate((self._lead, lead))
+        self._text = np.concatenate((self._text[:-8], _gathered(data, starts, size), np.zeros(8, np.uint8)))
+
+    def _whole_ids(self, text: str) -> list[int]:
+        if self._parts is None:
+            return self._ids(text)
+        return [i for x in self._parts(text) for i in ((self._specials[x],) if x in self._specials else self._ids(x))]
 
     def _whole(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Which texts must be encoded whole."""
@@ -122,30 +191,34 @@ class Encoder:
         if len(data) == 0:
             return [b""] * len(texts)
         whole = self._whole(data, off)
+        for x in self._specials:
+            whole |= pc.match_substring(pc.fill_null(texts, ""), x).to_numpy(zero_copy_only=False)
         if len(self._n) > CACHE:
             self._forget()
         h, starts, ends = shingles.spans(data, off, ~_BREAK)
         first = np.searchsorted(starts, off)
         lead = np.where(data[np.maximum(starts, 1) - 1] == 32, 1, 2)
         lead[first[:-1][first[:-1] < first[1:]]] = 0
-        key = shingles.mix(h + lead.astype(np.uint64)) | np.uint64(1)
+        size = ends - starts
+        key = self._keys(h, data, starts, size, lead)
         at = self._find(key)
         lost = np.flatnonzero(at < 0)
         if len(lost):
             new, where = np.unique(key[lost], return_index=True)
-            ids = []
-            for i in lost[where].tolist():
-                word = data[starts[i] : ends[i]].tobytes().decode()
-                ids.append(self._ids(" " + word) if lead[i] == 1 else (self._line if lead[i] else []) + self._ids(word))
-            self._learn(new.tolist(), ids)
+            for own in (lead[lost[where]] == 0, lead[lost[where]] > 0):
+                if own.any():
+                    i = lost[where[own]]
+                    self._learn(new[own], data, starts[i], size[i], lead[i])
             at[lost] = self._find(key[lost])
+        other = np.flatnonzero(~self._same(at, data, starts, size, lead))
+        whole[np.searchsorted(off, starts[other], side="right") - 1] = True
         n = self._n[at]
         upto = np.concatenate(([0], np.cumsum(n)))
         flat = self._pool[np.repeat(self._from[at] - upto[:-1], n) + np.arange(upto[-1])]
         cuts = upto[first].tolist()
         out = [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
         for i in np.flatnonzero(whole).tolist():
-            out[i] = np.array(self._ids(data[off[i] : off[i + 1]].tobytes().decode()), np.uint16).tobytes()
+            out[i] = np.array(self._whole_ids(data[off[i] : off[i + 1]].tobytes().decode()), np.uint16).tobytes()
         return out
 
     def __call__(self, text: str) -> bytes:
@@ -155,20 +228,23 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
+def encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None = None, specials: dict[str, int] | None = None) -> DataFrame:
     """(_i, _ids): each row's id and its tokens with the closing id, as 16-bit numbers."""
     import public_tokenizers
 
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((read_ranks(vocabulary), public_tokenizers.PATTERN))
-    src = docs.select(F.col(id_col).cast("long").alias("_i"), common.text_of(text_col).alias("_t"))
+    specials = specials if specials is not None else default_specials() if vocabulary is None else {}
+    vocabulary = vocabulary or default_vocabulary()
+    name = f"{vocabulary} {sorted(specials.items())}"
+    shared = spark.sparkContext.broadcast((read_ranks(vocabulary), public_tokenizers.PATTERN, specials))
+    src = docs.select(F.col(id_col).alias("_i"), common.text_of(text_col).alias("_t"))
     close = np.array([END_ID], np.uint16).tobytes()
 
     def run(b: pa.RecordBatch) -> dict:
-        enc = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, Encoder(*shared.value))
+        enc = _ENCODERS.get(name) or _ENCODERS.setdefault(name, Encoder(*shared.value))
         return {"_i": b.column("_i"), "_ids": pa.array([x + close for x in enc.batch(b.column("_t"))], pa.binary())}
 
-    return common.map_text(src, run, "_i long, _ids binary")
+    return common.map_text(src, run, f"_i {src.schema['_i'].dataType.simpleString()}, _ids binary")
 
 
 def _sorted_tokens(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,7 +330,7 @@ def colocated(tokens: DataFrame, df: np.ndarray, n_parts: int) -> DataFrame:
         return {"_i": part.column("_i"), "_ids": part.column("_ids"), "_h": part.column("_h"), "_p": pa.array(to), "_k1": pa.array(first.astype(np.int32)), "_k2": pa.array(second.astype(np.int32))}
 
     named = tokens.select("_i", "_ids", F.xxhash64("_i", "_ids").alias("_h"))
-    dealt = common.map_text(named, deal, "_i long, _ids binary, _h long, _p int, _k1 int, _k2 int", "_ids")
+    dealt = common.map_text(named, deal, f"_i {named.schema['_i'].dataType.simpleString()}, _ids binary, _h long, _p int, _k1 int, _k2 int", "_ids")
     return dealt.repartitionById(n_parts, F.col("_p")).sortWithinPartitions("_k1", "_k2", "_i", "_h").select("_i", "_ids")
 
 
@@ -331,18 +407,18 @@ class Packer:
             else:
                 scores[best] = 0.0
 
-    def take(self) -> pa.RecordBatch:
+    def take(self, kind: pa.DataType) -> pa.RecordBatch:
         cols = list(zip(*self.rows))
         self.rows = []
-        kinds = [pa.int64()] * 7
+        kinds = [kind, *[pa.int64()] * 6]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         return pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(names, cols or [[]] * 7, kinds)})
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, vocabulary: str | None = None, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, vocabulary: str | None = None, specials: dict[str, int] | None = None, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     The tokens are written once to the shared folder; document frequencies and the mean length are counted over all
@@ -353,33 +429,36 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
     overflows a window is cut and seeds the next one, so windows have no gaps, and one window of each partition stays
     short. The tokens are shuffled once.
 
-    Null text counts as empty: its piece is the closing id alone. Repeated rows are packed each. Null ids stay null. An
-    empty table gives no pieces. Ties go to the earlier document.
+    Null text counts as empty: its piece is the closing id alone. Repeated rows are packed each. Null ids stay null; ids may be
+    of any type. A text longer than a window is cut into pieces, none is left out. An empty table gives no pieces. Ties go
+    to the earlier document in the shard's order. Other columns, whatever their names, are ignored. `specials` are strings
+    that have an id of their own in any text, by default those of the default vocabulary.
     """
     spark = docs.sparkSession
-    tokens = common.stored(encoded(docs, id_col, text_col, vocabulary or default_vocabulary()), "tokens")
+    tokens = common.stored(encoded(docs, id_col, text_col, vocabulary, specials), "tokens")
     df, n, mean = document_frequencies(tokens)
     known = spark.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)), max(mean, 1.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, avg = known.value
         packer = Packer(TaskContext.get().partitionId() << 40, window)
-        names, ids, total = [], [], 0
+        names, ids, total, kind = [], [], 0, pa.int64()
         for batch in batches:
+            kind = batch.column("_i").type
             for name, raw in zip(batch.column("_i").to_pylist(), batch.column("_ids").to_pylist()):
                 names.append(name)
                 ids.append(np.frombuffer(raw, np.uint16))
                 total += len(ids[-1])
                 if len(ids) == shard_docs or total > shard_tokens:
                     packer.pack(names, ids, Shard(ids, idf, avg))
-                    yield packer.take()
+                    yield packer.take(kind)
                     names, ids, total = [], [], 0
         if ids:
             packer.pack(names, ids, Shard(ids, idf, avg))
-            yield packer.take()
+            yield packer.take(kind)
 
     parts = max(1, math.ceil(n / (4 * shard_docs)), math.ceil(n * mean / (4 * shard_tokens)))
-    return colocated(tokens, df, parts).mapInArrow(run, PIECES)
+    return colocated(tokens, df, parts).mapInArrow(run, f"doc_id {tokens.schema['_i'].dataType.simpleString()}, {PIECES}")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

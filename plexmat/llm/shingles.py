@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         return _splitmix(np.asarray(x, U) + U(0x9E3779B97F4A7C15))
 
 
-_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 _PLACE = [int(x) | 1 for x in mix(np.arange(64, dtype=U) + U(901))]
 
 
@@ -75,12 +75,12 @@ def spans(data: np.ndarray, off: np.ndarray, in_word: np.ndarray) -> tuple[np.nd
     padded = np.zeros(n + 8, np.uint8)
     padded[:n] = data
     eight = np.ndarray((n + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
-    part = eight[starts] & _KEEP[np.minimum(size, 8)]
+    part = eight[starts] & KEEP[np.minimum(size, 8)]
     h = mix(part ^ (size.astype(U) << U(56)))
     live = np.flatnonzero((size > 8) & (size <= _LONG))
     at = 8
     while len(live):
-        h[live] = mix(h[live] ^ (eight[starts[live] + at] & _KEEP[np.minimum(size[live] - at, 8)]))
+        h[live] = mix(h[live] ^ (eight[starts[live] + at] & KEEP[np.minimum(size[live] - at, 8)]))
         at += 8
         live = live[size[live] > at]
     for i in np.flatnonzero(size > _LONG).tolist():
