@@ -75,13 +75,16 @@ class Lexicon:
     slope: tuple[float, float, float] = (-4.0, 2.0, 1.0)
 
     def automaton(self) -> ahocorasick.Automaton:
-        a = ahocorasick.Automaton()
+        """Of each string its length, its weights as a word and as a beginning, and whether it is an exception."""
+        found: dict[str, list] = {}
         for e, w in self.weights.items():
-            a.add_word(e.rstrip("*"), (len(e.rstrip("*")), w, e.endswith("*")))
+            found.setdefault(e.rstrip("*"), [0.0, 0.0, False])[e.endswith("*")] = w
         # A phrase takes the place of what it covers.
         for p in self.exceptions:
-            p = fold(p)
-            a.add_word(p, (len(p), 0.0, False))
+            found.setdefault(fold(p), [0.0, 0.0, False])[2] = True
+        a = ahocorasick.Automaton()
+        for x, (word, begin, spare) in found.items():
+            a.add_word(x, (len(x), word, begin, spare))
         if len(a):
             a.make_automaton()
         return a
@@ -91,19 +94,23 @@ def hits(automaton: ahocorasick.Automaton, folded: str) -> float:
     """Sum of the weights of matches at word boundaries, without those inside an exception phrase; of entries that begin at one place the heaviest counts."""
     if not len(automaton):
         return 0.0
-    found = []
-    for end, (n, w, prefix) in automaton.iter(folded):
+    found, spared = [], []
+    for end, (n, word, begin, spare) in automaton.iter(folded):
         start = end + 1 - n
-        if (start and folded[start - 1].isalpha()) or (not prefix and end + 1 < len(folded) and folded[end + 1].isalpha()):
+        if start and folded[start - 1].isalpha():
             continue
-        found.append((start, end + 1, w))
+        whole = end + 1 == len(folded) or not folded[end + 1].isalpha()
+        if w := max(begin, word) if whole else begin:
+            found.append((start, end + 1, w))
+        if spare and whole:
+            spared.append((start, end + 1))
     if not found:
         return 0.0
-    spared = sorted((a, b) for a, b, w in found if w == 0.0)
+    spared.sort()
     begins, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
     best: dict[int, float] = {}
     for a, b, w in found:
-        if w and not ((i := bisect_right(begins, a)) and reach[i - 1] >= b):
+        if not ((i := bisect_right(begins, a)) and reach[i - 1] >= b):
             best[a] = max(best.get(a, 0.0), w)
     return sum(best.values())
 
