@@ -25,6 +25,7 @@ STEP = 1 << 18
 #: Words whose sums travel as one row.
 BLOCK = 256
 HIDDEN, EPOCHS, BATCH = 32, 60, 64
+FAR = 6.0
 #: Runs of letters and digits are words, and so are runs of the other signs.
 _SIGN = np.array([33 <= i < 127 and not chr(i).isalnum() for i in range(256)])
 
@@ -134,7 +135,7 @@ class Model:
     shift: float
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum((x - self.mean) / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        return np.maximum(_standard(x, self.mean, self.scale) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(self.logits(x).astype(np.float64) / self.temperature + self.shift)
@@ -143,6 +144,11 @@ class Model:
         return self.probabilities(pooled(texts, self.vectors))
 
 
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features by their deviation in the sample, but no further out than FAR: a text unlike all of the sample isn't decided by one feature."""
+    return np.clip((x - mean) / scale, -FAR, FAR)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -161,7 +167,7 @@ def learn(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, shares: tuple[int,
     if len(set(y[fold].tolist())) < 2 or len(set(y[~fold].tolist())) < 2:
         fold[:] = False
     mean, scale = x[~fold].mean(axis=0), x[~fold].std(axis=0) + 1e-3
-    z, t = (x[~fold] - mean) / scale, y[~fold]
+    z, t = _standard(x[~fold], mean, scale), y[~fold]
     weight = np.where(t == 1, 0.5 / max(t.mean(), 1e-6), 0.5 / max(1 - t.mean(), 1e-6)).astype(np.float32)
     p = [rng.normal(0, (2 / z.shape[1]) ** 0.5, (z.shape[1], HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, (1 / HIDDEN) ** 0.5, HIDDEN).astype(np.float32), np.zeros(1, np.float32)]
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
