@@ -54,8 +54,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     2. prefix: of the rest, a text whose (length, hash of the prefix) no other has is settled;
     3. content: only for the rest the full SHA-256 is taken and grouped (with digest_all it is asked for of every row,
        so the first reading takes it, but still only the survivors are grouped).
-    The texts are read once for lengths and hashes, and again for the survivors' content. Only these are shuffled; counts are combined before the shuffle, so a group of a third of
-    all rows costs one row per task. The members of a large group meet its summary in a sort-merge join whose
+    The texts are read once for lengths and hashes, and again for the survivors' content. Only these are shuffled;
+    counts are combined before the shuffle, so a group of a third of all rows costs one row per task. The members of a large group meet its summary in a sort-merge join whose
     partitions adaptive execution can split. Survivors' ids reach stage 3 by broadcast while they are at most
     broadcast_rows rows, by a shuffled join beyond.
 
