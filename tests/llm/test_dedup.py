@@ -69,8 +69,8 @@ def test_near_against_brute_force(spark):
             texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = _brute(texts)
-    for direct, per_round in ((32, 16), (2, 2)):  # all pairs at once, and round by round
-        got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df, direct=direct, per_round=per_round).collect()}
+    for direct, per_round, rows in ((32, 16, 99), (2, 2, 10**6), (2, 2, 0)):  # all pairs at once, and round by round
+        got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df, direct=direct, per_round=per_round, shared_rows=rows).collect()}
         assert [got[i] for i in range(len(texts))] == want
 
 
@@ -84,6 +84,43 @@ def test_near_when_repeats_differ(spark):
     assert [got[i] for i in range(len(texts))] == _brute(texts)
 
 
+def test_components(spark):
+    rng = np.random.default_rng(6)
+    name = lambda i: i.to_bytes(8, "big")
+    path = [(i, i + 1) for i in range(60)]
+    star = [(100, 101 + i) for i in range(50)] + [(399, 300 + i) for i in range(99)]
+    some = [(int(x), int(y)) for x, y in rng.integers(500, 700, (120, 2))]
+    edges = path + star + some
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in edges:
+        for x, y in edges:
+            if x != y:
+                root[x] = root[y] = min(root[x], root[y])
+    got = near_dedup.components(spark.createDataFrame([(bytearray(name(x)), bytearray(name(y))) for x, y in edges], "_a binary, _b binary"))
+    assert {int.from_bytes(r._n, "big"): int.from_bytes(r._c, "big") for r in got.collect()} == root
+    assert near_dedup.components(spark.createDataFrame([], "_a binary, _b binary")).count() == 0
+
+
+def test_near_recall(spark):
+    """Pairs of similarity 0.8 and a little above, with lines repeated up to 1,000 times, against brute force."""
+    rng = np.random.default_rng(8)
+    texts, pairs = [], 150
+    for i in range(pairs):
+        n, block = int(rng.integers(60, 240)), " ".join(f"r{i}x{j}" for j in range(22))
+        w = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+        cut = max(1, n // 11)
+        v = [*w[:-cut], *(f"v{x}" for x in rng.integers(0, 10**9, cut))]
+        times = int(rng.choice([0, 1, 50, 400, 1000])), int(rng.choice([0, 1, 50, 400, 1000]))
+        texts += [" ".join([*w, *[block] * times[0]]), " ".join([*v, *[block] * times[1]])]
+    want = []
+    for a, b in zip(texts[::2], texts[1::2]):
+        x, y = (set(zip(*(t.split()[j:] for j in range(5)))) for t in (a, b))
+        want.append(len(x & y) >= 0.8 * len(x | y))
+    assert 30 < sum(want) < pairs
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[2 * i] == got[2 * i + 1] for i in range(pairs)] == want
+
+
 def test_near_odd(odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     by = {r.doc_id: r for r in got}
@@ -91,3 +128,4 @@ def test_near_odd(odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     kept = near_dedup.drop_near_copies(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6, 7, 9]
+    assert near_dedup.drop_near_copies(empty).count() == 0
