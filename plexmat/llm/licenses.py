@@ -22,7 +22,13 @@ EQUIVALENT = {
     "owner": "holder", "http": "https", "sublicence": "sublicense",
 }
 _WORDS = {a: " ".join(re.findall(r"[^\W_]+", b)) for a, b in EQUIVALENT.items()}
-_COPYRIGHT = re.compile(r"^[^\w\n]*(?:copyright|©|\(c\))(?=\W)(?:[^\n]*\d{4}[^\n]*|[^\n]*(?:©|\(c\))[^\n]*|[^\n]*all rights reserved[^\n]*)$|^[^\w\n]*all rights reserved\W*$", re.M)
+# Words that follow "copyright" where a licence's own sentence goes on in a line; any other line that begins with it names an owner.
+_GOES_ON = "act|any|apply|are|as|by law|conditions|disclaimer|holder|holders|if|in|infringement|interest|interests|is|law|laws|licence|license|licenses|material|materials|may|must|notice|notices|on|or|owner|owners|patent|permission|protection|related|right|rights|similar|software|statement|statements|subject|such|terms|that|this|to|treaty|under|with|work|works"
+_COPYRIGHT = re.compile(
+    r"^[^\w\n]*(?:copyright|©|\(c\))(?=\W)(?:[^\n]*\d{4}[^\n]*|[^\n]*(?:©|\(c\))[^\n]*|[^\n]*all rights reserved[^\n]*)$|^[^\w\n]*all rights reserved\W*$"
+    rf"|^[^\w\n]*(?:copyright|©|\(c\))[ \t]+(?![^\n]*\b(?:{_GOES_ON})\b)\w[^\n]{{0,80}}$",
+    re.M,
+)
 _WORD = re.compile(r"[^\W_]+").findall
 #: A list mark at the start of a line.
 _BULLET = re.compile(r"[^\w\n(]*(?:\(?(?:\d{1,2}|[a-z])[.)]|[*•-])(?=\s)").match
@@ -86,7 +92,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tex
     as many words as some known text are hashed, which loses none.
 
     Null text counts as empty; a text without words has the digest of the empty text and no licence. Repeated rows are
-    reported each; an empty table gives an empty result.
+    reported each; an empty table gives an empty result. Long texts are read whole. Of known texts that share a digest the
+    last one gives the id. Ids may be of any type; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     table = known(texts, notices)
