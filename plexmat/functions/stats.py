@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexmat.sources.shared import small, stored
+
+#: Clusters up to which their sizes are broadcast.
+CLUSTERS = 100_000
 _KEY = {0: "cell_id", 1: "feat_id"}
 
 
@@ -70,23 +74,30 @@ def kruskal_sparse(values: DataFrame, clusters: DataFrame, features: DataFrame |
     Of a feature with `low` values below zero, the z zeros share the rank low + (z + 1) / 2, and positive values rank z higher
     than among the values that aren't zero.
     """
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("size"))
+    sizes = stored(clusters.groupBy(F.col("cluster").alias("_g")).agg(F.count(F.lit(1)).cast("double").alias("size")), "clusters")
+    n, g = sizes.agg(F.coalesce(F.sum("size"), F.lit(0.0)), F.count(F.lit(1))).first()
     ranked = _ranked(values.where(F.col("value") != 0), clusters)
-    high = F.col("value") > 0
     found = ranked.groupBy("feat_id", "cluster").agg(
-        F.sum(F.col("c") * F.col("r")).alias("rs"), F.sum("c").alias("nnz"), F.sum(F.when(high, F.col("c")).otherwise(0.0)).alias("pos"), F.sum(F.col("c") * (F.col("t") * F.col("t") - 1)).alias("ties")
+        F.sum(F.col("c") * F.col("r")).alias("rs"), F.sum("c").alias("nnz"), F.sum(F.when(F.col("value") > 0, F.col("c")).otherwise(0.0)).alias("pos"), F.sum(F.col("c") * (F.col("t") * F.col("t") - 1)).alias("ties")
     )
-    ids = (values if features is None else features).select("feat_id").distinct()
-    full = ids.join(F.broadcast(sizes)).join(found, ["feat_id", "cluster"], "left").fillna(0.0, ["rs", "nnz", "pos", "ties"])
     feature = Window.partitionBy("feat_id")
-    full = full.withColumn("z", F.sum(F.col("size") - F.col("nnz")).over(feature)).withColumn("low", F.sum(F.col("nnz") - F.col("pos")).over(feature))
-    rs = F.col("rs") + F.col("pos") * F.col("z") + (F.col("size") - F.col("nnz")) * (F.col("low") + (F.col("z") + 1) / 2)
-    ties = F.col("ties") + (F.col("size") - F.col("nnz")) * (F.col("z") * F.col("z") - 1)
-    return _from_groups(full.select("feat_id", "cluster", rs.alias("rs"), F.col("size").alias("n"), ties.alias("ties")), None)
+    found = found.join(small(sizes, CLUSTERS), F.col("cluster") == F.col("_g")).withColumn("z", n - F.sum("nnz").over(feature)).withColumn("low", F.sum(F.col("nnz") - F.col("pos")).over(feature))
+    middle = F.col("low") + (F.col("z") + 1) / 2
+    rs = F.col("rs") + F.col("pos") * F.col("z") + (F.col("size") - F.col("nnz")) * middle
+    # A cluster without a value other than zero has the rank sum size * middle, so it needs no row.
+    each = found.groupBy("feat_id").agg(F.sum(rs * rs / F.col("size")).alias("s"), F.sum("ties").alias("ties"), F.sum("size").alias("size"), F.first(middle).alias("middle"), F.first("z").alias("z"))
+    z = F.col("z")
+    each = each.select("feat_id", (F.col("s") + (n - F.col("size")) * F.col("middle") * F.col("middle")).alias("s"), F.lit(n).alias("n"), (F.col("ties") + z * z * z - z).alias("ties"), F.lit(g).alias("g"))
+    ids = (values if features is None else features).select("feat_id").distinct()
+    return ids.join(_tested(each, None), "feat_id", "left").select("feat_id", F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("pval", F.lit(1.0)).alias("pval"), F.coalesce("n_groups", F.lit(g).cast("int")).alias("n_groups"))
 
 
 def _from_groups(groups: DataFrame, n_groups: int | None) -> DataFrame:
-    g = groups.groupBy("feat_id").agg(F.sum(F.col("rs") * F.col("rs") / F.col("n")).alias("s"), F.sum("n").alias("n"), F.sum("ties").alias("ties"), F.count(F.lit(1)).alias("g"))
+    return _tested(groups.groupBy("feat_id").agg(F.sum(F.col("rs") * F.col("rs") / F.col("n")).alias("s"), F.sum("n").alias("n"), F.sum("ties").alias("ties"), F.count(F.lit(1)).alias("g")), n_groups)
+
+
+def _tested(g: DataFrame, n_groups: int | None) -> DataFrame:
+    """(feat_id, h, pval, n_groups) from each feature's sum s of squared rank sums over cluster sizes, values n, ties, and clusters g."""
     n = F.col("n")
     t = 1 - F.try_divide(F.col("ties"), n * n * n - n)
     h = F.try_divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), F.when(t > 1e-12, t))

@@ -322,8 +322,12 @@ def capped_top_k(t: DataFrame, s: DataFrame, k: int = 20, relaxation: float = 10
             raise RuntimeError("too few sources are below the cap; raise the relaxation")
         open_ = s.join(full, "cell_id", "left_anti") if n_open < n_s else s
         order = F.md5(F.concat_ws(":", F.col("target_id").cast("string"), F.lit(str(seed)), F.lit(str(len(accepted)))).cast("binary"))
-        cand = search(left, open_, min(k * speed, n_open)).select("target_id", "source_id", "rn", order.alias("_o"))
-        accepted.append(_chosen(stored(cand, "candidates"), degree, cap, k))
+        cand = stored(search(left, open_, min(k * speed, n_open)).select("target_id", "source_id", "rn", order.alias("_o")), "candidates")
+        # While each target finds k among its first 2 k candidates, none looks at the others, and few targets meet at a source.
+        taken = _chosen(cand.where(F.col("rn") <= 2 * k), degree, cap, k) if speed > 2 else None
+        if taken is None or taken.select("target_id").distinct().count() < n_left:
+            taken = _chosen(cand, degree, cap, k)
+        accepted.append(taken)
         done = accepted[-1].select(F.col("target_id").alias("cell_id")).distinct()
         left = stored(left.join(done, "cell_id", "left_anti"), "waiting")
         if left.count() == n_left:
