@@ -23,7 +23,7 @@ WINDOW = 1024
 #: Documents and tokens of a shard of the index: what one task holds at a time.
 SHARD_DOCS, SHARD_TOKENS = 2048, 4_000_000
 #: A token that more than this share of a shard's documents have is kept as a row over all of them.
-DENSE = 0.25
+DENSE = 0.12
 K1, B = 1.2, 0.75
 END_ID = 0
 #: Words over which a tokenizer forgets all that it remembers.
