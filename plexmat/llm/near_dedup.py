@@ -286,7 +286,15 @@ def _by_rare(members: DataFrame, sets: DataFrame, threshold: float, broadcast_ro
     """
     some = members.groupBy("_g").agg(F.max("_w").alias("_w"), F.max("_c").alias("_c"), F.max(F.col("_c") != F.col("_main")).alias("_out")).select(F.col("_g").alias("_m"), "_w", "_c", "_out")
     own = common.stored(sets.join(some, F.col("_g") == F.col("_m")).select("_g", "_w", "_c", "_out", "_s"), "members")
-    often = own.select("_out", F.explode("_s").alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_f"), F.max("_out").alias("_out"))
+
+    def count(b: pa.RecordBatch) -> dict:
+        """A batch's shingles, each once, with how many of its members have it and whether an outsider does."""
+        s = b.column("_s")
+        names, at, f = np.unique(s.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+        out = np.repeat(b.column("_out").to_numpy(zero_copy_only=False), np.diff(s.offsets.to_numpy()))
+        return {"_t": pa.array(names), "_f": pa.array(f), "_out": pa.array(np.bincount(at, out, len(names)) > 0)}
+
+    often = common.map_text(own.select("_g", "_out", "_s"), count, "_t long, _f long, _out boolean", "_g").groupBy("_t").agg(F.sum("_f").alias("_f"), F.max("_out").alias("_out"))
     often = common.stored(often.where("_f > 1 and _out").select(common.dealt_anew("_t").alias("_ft"), "_f"), "often")
     if often.count() <= broadcast_rows:
         table = often.toArrow()
