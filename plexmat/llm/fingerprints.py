@@ -103,7 +103,8 @@ def as_string(row: np.ndarray, full: bool) -> str:
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """(id, fingerprint) of each row: samples * 4 hex digits; the empty string for a null or empty text.
 
-    One pass over the rows without a shuffle. Repeated rows give repeated results, an empty table none.
+    One pass over the rows without a shuffle. Repeated rows give repeated results, an empty table none. Long texts count
+    whole. Ids may be of any type; other columns, whatever their names, are ignored.
     """
     src = docs.select(F.col(id_col).alias("_id"), common.text_of(text_col).alias("_t"))
 

@@ -189,7 +189,7 @@ def derive(records: DataFrame) -> DataFrame:
 
 
 def derive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """derive(responses(pages)) in one step, with the page's id as source_id before the record's columns."""
+    """derive(responses(pages)) in one step, with the page's id, of any type, as source_id before the record's columns. Cases as there."""
     kind = pages.schema[id_col].dataType.simpleString()
     src = pages.select(F.col(id_col).alias("_i"), F.coalesce(F.col(url_col), F.lit("")).alias("_u"), common.text_of(html_col).alias("_t"))
 
