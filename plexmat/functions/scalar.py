@@ -55,6 +55,14 @@ def run_time(start: float, end: float) -> tuple[float, str]:
     return seconds, "seconds"
 
 
+def run_times(seconds: Column) -> Column:
+    """run_time() of a column of durations: a struct of value and unit."""
+    out = F.struct(seconds.cast("double").alias("value"), F.lit("seconds").alias("unit"))
+    for unit, name in ((60, "minutes"), (3600, "hours"), (86400, "days")):
+        out = F.when(seconds > unit, F.struct((seconds / unit).alias("value"), F.lit(name).alias("unit"))).otherwise(out)
+    return out
+
+
 def correlation_sign(word: str) -> int:
     """1 or -1 from 'positive', 'pos', '+', 'negative', 'neg', '-'."""
     if word.lower() in ("positive", "pos", "+"):

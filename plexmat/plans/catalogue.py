@@ -226,6 +226,25 @@ def integrate_union(spark, d):
     return _round(_integrated(spark, d), "value")
 
 
+def impute_mnn_auto(spark, d):
+    """Rescue with the numbers of neighbours that follow from the numbers of cells."""
+    s = _emb(spark, d, 0)
+    return _round(impute.impute(_emb(spark, d, 1), s, s.features, "mnn_rescue").values, "value")
+
+
+def source_normalised(spark, d):
+    """Mutual neighbours with weights that sum to one for each source."""
+    edges = neighbors.adjacency(neighbors.mutual_neighbors(_emb(spark, d, 1), _emb(spark, d, 0), MUTUAL, MUTUAL))
+    return _round(neighbors.normalised(edges, axis=0), "weight")
+
+
+def auto_neighbours(spark, d):
+    """Numbers of neighbours for each nation's customers, from the shares and bounds that the imputation uses."""
+    counts = _table(spark, d, "customer").groupBy("c_nationkey").count().collect()
+    rows = [(r.c_nationkey, neighbors.auto_k(r["count"] * 100, 0.01, 200), k := neighbors.auto_k(r["count"], 0.001, 50), neighbors.check_ka(k, KA)) for r in counts]
+    return spark.createDataFrame(rows, "c_nationkey long, mutual_k long, rescue_k long, ka long")
+
+
 def integrate_counts(spark, d):
     return _integrated(spark, d).groupBy("modality", "original_file").agg(F.countDistinct("cell_id").alias("n_cells"), F.countDistinct("feat_id").alias("n_features"), F.count(F.lit(1)).alias("n_values"))
 
@@ -240,6 +259,19 @@ def round_unit(spark, d):
     return _table(spark, d, "part").select("p_partkey", *(scalar.round_unit(x, 10, m).cast("long").alias(m) for m in ("ceil", "floor", "nearest")))
 
 
+def run_times(spark, d):
+    seconds = F.col("o_orderkey") * 37 % 200000
+    return _table(spark, d, "orders").select("o_orderkey", F.floor(scalar.run_times(seconds)["value"] * 10000).cast("long").alias("ten_thousandths"), scalar.run_times(seconds)["unit"].alias("unit"))
+
+
+def feature_ids(spark, d):
+    """Ids of valid features without their versions."""
+    raw = F.concat(F.lit("G"), F.col("p_partkey").cast("string"), F.lit("."), F.col("p_size").cast("string"))
+    f = _table(spark, d, "part").select(raw.alias("feat_id"), (F.col("p_size") % 3).alias("valid"))
+    empty = spark.createDataFrame([], "cell_id long, feat_id string, value double")
+    return Modality("parts", empty.select("cell_id"), f, empty).where(features=F.col("valid")).without_versions().features
+
+
 def pct_common(spark, d):
     f = features.decile_features(_emb(spark, d), "vmr")
     return f.agg(scalar.percentage(F.sum("variable"), F.count(F.lit(1))).alias("pct"))
@@ -260,6 +292,18 @@ def pca_gram(spark, d):
     return p.select("cell_id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 5).alias("norm2"))
 
 
+def pca_unit_rms(spark, d):
+    """pca_gram() with components divided by their root mean square."""
+    m = _emb(spark, d)
+    p = decompose.pca(m, m.features.count(), unit_rms=True)
+    return p.select("cell_id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"))
+
+
+def valid_complement(spark, d):
+    m = _emb(spark, d).where(cells=F.col("cluster") % 3, features=F.col("feat_id") % 4, inverse=True)
+    return m.values.groupBy("feat_id").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
 def valid_subset(spark, d):
     m = _emb(spark, d).where(cells=F.col("cluster") % 3, features=F.col("feat_id") % 4)
     return m.values.groupBy("feat_id").agg(F.count(F.lit(1)).alias("n_cells"))
@@ -332,7 +376,7 @@ QUERIES = {
     for f in (
         feature_moments, cell_moments, layer_moments, sparse_feature_moments, cell_moments_sparse, layer_moments_sparse, rank_zscore, sparse_zscore, kruskal_h, kruskal_h_sparse, kruskal_negative,
         kruskal_p_5groups, kruskal_p_10groups, hvf_vmr, hvf_sd, hvf_sparse, knn_blocks, knn_bucketed, knn_sparse, knn_metrics, impute_sparse, impute_first_k, impute_feature_join, layer_store, expand_sparse,
-        melt, reindexed, nan_matrix, fuse_two_targets, fuse_flags,
+        melt, reindexed, nan_matrix, fuse_two_targets, fuse_flags, impute_mnn_auto, source_normalised, auto_neighbours, run_times, feature_ids, pca_unit_rms, valid_complement,
         common_kruskal, common_decile, knn_spearman, knn_negative, constrained_knn_loose, constrained_knn_tight, impute_knn, mnn_edges, impute_mnn_direct, rescue_weights,
         impute_mnn_rescue, integrate_union, integrate_counts, strip_version, round_unit, pct_common, natural_sort, chromosomes, pca_gram, valid_subset, scaled_values, fuse_pipeline,
     )
@@ -447,6 +491,16 @@ SELECT DISTINCT feat_id, (feat_id IN (SELECT feat_id FROM com))::INT AS common_v
     "impute_mnn_direct": f"WITH {_EMB}, {_z()}, {_MNN2} SELECT target_id AS cell_id, feat_id, round(sum(weight * value), 6) AS value FROM dir JOIN emb ON emb.cell_id = source_id GROUP BY 1, 2",
     "rescue_weights": f"WITH {_EMB}, {_z()}, {_MNN2}, {_RESCUE} SELECT target_id, source_id, round(weight, 6) AS weight FROM res",
     "impute_mnn_rescue": f"WITH {_EMB}, {_z()}, {_MNN2}, {_RESCUE}, w AS (SELECT res.target_id, dir.source_id, sum(res.weight * dir.weight) AS weight FROM res JOIN dir ON res.source_id = dir.target_id GROUP BY 1, 2) SELECT target_id AS cell_id, feat_id, round(sum(weight * value), 6) AS value FROM w JOIN emb ON emb.cell_id = source_id GROUP BY 1, 2",
+    "impute_mnn_auto": f"WITH {_EMB}, {_z()}, {_MNN2.replace('f.rn <= 2 AND b.rn <= 2', 'f.rn <= 10 AND b.rn <= 10')}, {_RESCUE}, w AS (SELECT res.target_id, dir.source_id, sum(res.weight * dir.weight) AS weight FROM res JOIN dir ON res.source_id = dir.target_id GROUP BY 1, 2) SELECT target_id AS cell_id, feat_id, round(sum(weight * value), 6) AS value FROM w JOIN emb ON emb.cell_id = source_id GROUP BY 1, 2",
+    "source_normalised": f"WITH {_EMB}, {_z()} SELECT f.target_id, f.source_id, round(1 / (count(*) OVER (PARTITION BY f.source_id) + 1e-5), 6) AS weight FROM fwd f JOIN bwd b ON f.target_id = b.target_id AND f.source_id = b.source_id WHERE f.rn <= {MUTUAL} AND b.rn <= {MUTUAL}",
+    "auto_neighbours": """WITH c AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1), q AS (SELECT c_nationkey, ceil(n * 100 * 0.01::DOUBLE) AS a, ceil(n * 0.001::DOUBLE) AS b FROM c),
+r AS (SELECT c_nationkey, CASE WHEN floor(a / 10) = 0 OR ceil(a / 10) * 10 - a < a - floor(a / 10) * 10 THEN ceil(a / 10) * 10 ELSE floor(a / 10) * 10 END AS mk, CASE WHEN floor(b / 10) = 0 OR ceil(b / 10) * 10 - b < b - floor(b / 10) * 10 THEN ceil(b / 10) * 10 ELSE floor(b / 10) * 10 END AS rk FROM q)
+SELECT c_nationkey::BIGINT AS c_nationkey, least(200, mk)::BIGINT AS mutual_k, least(50, rk)::BIGINT AS rescue_k, (CASE WHEN 5 >= least(50, rk) THEN ceil(least(50, rk) / 2) ELSE 5 END)::BIGINT AS ka FROM r""",
+    "run_times": """WITH s AS (SELECT o_orderkey, (o_orderkey * 37 % 200000)::DOUBLE AS t FROM orders)
+SELECT o_orderkey, floor(CASE WHEN t > 86400 THEN t / 86400 WHEN t > 3600 THEN t / 3600 WHEN t > 60 THEN t / 60 ELSE t END * 10000)::BIGINT AS ten_thousandths, CASE WHEN t > 86400 THEN 'days' WHEN t > 3600 THEN 'hours' WHEN t > 60 THEN 'minutes' ELSE 'seconds' END AS unit FROM s""",
+    "feature_ids": r"SELECT regexp_replace('G' || p_partkey || '.' || p_size, '\..*$', '') AS feat_id, p_size % 3 AS valid, 'G' || p_partkey || '.' || p_size AS raw_feat_id FROM part WHERE p_size % 3 <> 0",
+    "pca_unit_rms": f"WITH {_EMB}, c AS (SELECT cell_id, value - avg(value) OVER (PARTITION BY feat_id) AS v FROM emb), g AS (SELECT cell_id, sum(v * v) AS n FROM c GROUP BY 1) SELECT cell_id, round(n / (sum(n) OVER () / (count(*) OVER () * 64)), 4) AS norm2 FROM g",
+    "valid_complement": f"WITH {_EMB} SELECT feat_id, count(*) AS n_cells FROM emb WHERE label % 3 = 0 AND feat_id % 4 = 0 GROUP BY 1",
     "integrate_union": f"WITH {_EMB}, {_z()}, {_IMPUTED.format(src='emb')} SELECT cell_id, feat_id, round(value, 6) AS value, 'source' AS original_file, 'a' AS modality FROM emb WHERE cell_id % 2 = 0 UNION ALL SELECT cell_id, feat_id, round(value, 6), 'target', 'b' FROM imp",
     "integrate_counts": f"WITH {_EMB}, {_z()}, {_IMPUTED.format(src='emb')} SELECT 'a' AS modality, 'source' AS original_file, count(DISTINCT cell_id) AS n_cells, count(DISTINCT feat_id) AS n_features, count(*) AS n_values FROM emb WHERE cell_id % 2 = 0 UNION ALL SELECT 'b', 'target', count(DISTINCT cell_id), count(DISTINCT feat_id), count(*) FROM imp",
     "strip_version": r"SELECT p_partkey, regexp_replace('G' || p_partkey || '.' || p_size || '.x', '\..*$', '') AS feat_id FROM part",

@@ -28,6 +28,8 @@ def test_natural_order(spark):
 
 def test_small_things(spark):
     assert scalar.run_time(0, 59) == (59, "seconds") and scalar.run_time(0, 7200) == (2, "hours") and scalar.run_time(0, 60) == (60, "seconds")
+    times = spark.createDataFrame([(x,) for x in (0, 59, 60, 61, 7200, 86400, 172800)], "s long").select("s", scalar.run_times(F.col("s")).alias("t"))
+    assert all((r.t.value, r.t.unit) == scalar.run_time(0, r.s) for r in times.collect())
     assert scalar.correlation_sign("NEG") == -1 and scalar.correlation_sign("+") == 1
     with pytest.raises(ValueError):
         scalar.correlation_sign("?")

@@ -205,6 +205,13 @@ def test_stored_neighbours_and_shared_features(spark):
     assert {r.feat_id for r in got.values.select("feat_id").distinct().collect()} == {r.feat_id for r in got.features.collect()} == {3, 4, 5, 6}
     with pytest.raises(ValueError):
         impute.impute(part, s, s.features, k=3)
+    w = neighbors.adjacency(edges)
+    for axis, key, n in ((1, "target_id", 9), (0, "source_id", edges.select("source_id").distinct().count())):
+        sums = neighbors.normalised(w, 1e-9, axis).groupBy(key).agg(F.sum("weight").alias("s")).collect()
+        assert len(sums) == n and all(abs(r.s - 1) < 1e-6 for r in sums)
+    assert neighbors.normalised(w, axis=None) is w
+    with pytest.raises(ValueError):
+        neighbors.normalised(w, axis=2)
     assert neighbors.adjacency(edges, 9).agg(F.sum("weight")).first()[0] == 54
     with pytest.raises(ValueError):
         neighbors.adjacency(edges, 10)
