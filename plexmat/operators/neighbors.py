@@ -5,11 +5,11 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.functions.rank import rank_zscores
@@ -17,12 +17,14 @@ from plexmat.functions.scalar import round_unit_value
 from plexmat.sources.modality import Modality, same_ids
 from plexmat.sources.shared import Scratch, small, stored
 
-#: Bytes of source vectors up to which they are broadcast whole; more are searched block by block.
-BROADCAST_BYTES = 256 << 20
-#: Rows of a block of sources, and of targets that meet it in one task.
-BLOCK, TARGETS = 4096, 16384
-#: Bytes of a dense block that a kernel makes of source rows, and targets that it takes at a time.
+#: Bytes of dense and of sparse source vectors up to which they are broadcast whole; more are searched block by block.
+BROADCAST_BYTES, SPARSE_BYTES = 256 << 20, 64 << 20
+#: Rows of a block of sources, and of targets that meet it in one task, and bytes of either.
+BLOCK, TARGETS, TASK_BYTES = 4096, 16384, 32 << 20
+#: Bytes of a dense block that a kernel makes of rows, and targets that it takes at a time.
 DENSE_BYTES, AT_ONCE = 32 << 20, 256
+#: Products of sparse entries that a kernel makes at a time, and how many cells of a dense product take the time of one.
+PRODUCTS, DENSE_GAIN = 1 << 20, 32
 #: Whether a metric's highest scores come first.
 METRICS = {"dot": True, "euclidean": False, "angular": False, "manhattan": False, "hamming": False}
 #: Lists of the bucketed search at most.
@@ -75,6 +77,7 @@ class Cells:
     off: np.ndarray | None = None
     idx: np.ndarray | None = None
     base: np.ndarray | None = None
+    _columns: dict = field(default_factory=dict)
 
     @staticmethod
     def of(t: pa.Table | pa.RecordBatch, key: str) -> Cells:
@@ -83,7 +86,7 @@ class Cells:
         n = t.num_rows
         ids = t[key].to_numpy().astype(np.int64)
         lists = {c: (t[c].chunk(0) if t[c].num_chunks else None) for c in ("vec", "idx") if c in t.column_names}
-        flat = lists["vec"].flatten().to_numpy(zero_copy_only=False).astype(np.float64) if n else np.zeros(0)
+        flat = lists["vec"].flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False) if n else np.zeros(0)
         if "idx" not in lists:
             width = len(flat) // max(n, 1)
             if n and len(np.unique(np.diff(lists["vec"].offsets.to_numpy()))) != 1:
@@ -102,6 +105,75 @@ class Cells:
         return out
 
 
+    def entries(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of sparse cells a to b, each entry's row, place and difference from the row's base."""
+        lo, hi = self.off[a], self.off[b]
+        row = np.repeat(np.arange(b - a), np.diff(self.off[a : b + 1]))
+        return row, self.idx[lo:hi], self.flat[lo:hi] - self.base[a:b][row]
+
+    def columns(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """entries() by place: the places that have any, where each one's entries begin, and the entries' rows and differences."""
+        if (a, b) not in self._columns:
+            row, place, diff = self.entries(a, b)
+            order = np.argsort(place, kind="stable")
+            own, start = np.unique(place[order], return_index=True)
+            self._columns[a, b] = own, np.append(start, len(order)), row[order].astype(np.int32), diff[order]
+        return self._columns[a, b]
+
+    def sums(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of sparse cells a to b, each one's sum and sum of squares over all places."""
+        row, rest = np.repeat(np.arange(b - a), n := np.diff(self.off[a : b + 1])), self.base[a:b] * (self.width - n)
+        flat = self.flat[self.off[a] : self.off[b]]
+        return np.bincount(row, flat, b - a) + rest, np.bincount(row, flat * flat, b - a) + rest * self.base[a:b]
+
+
+def _sparse_dots(t: Cells, i: int, j: int, s: Cells, a: int, b: int) -> np.ndarray | None:
+    """Products of sparse cells i to j of t and a to b of s by the places where both have entries; None if a dense product is cheaper."""
+    row, place, diff = t.entries(i, j)
+    own, start, s_row, s_diff = s.columns(a, b)
+    at = np.searchsorted(own, place)
+    both = np.flatnonzero(at < len(own))
+    both = both[own[at[both]] == place[both]]
+    row, diff, at = row[both], diff[both], at[both]
+    n = start[at + 1] - start[at]
+    upto = np.concatenate(([0], np.cumsum(n)))
+    if upto[-1] * DENSE_GAIN > (j - i) * (b - a) * t.width:
+        return None
+    # With v = base + diff, a product's sum is that of both diffs, and the bases' shares follow from the rows' sums.
+    out = np.zeros((j - i) * (b - a))
+    cuts = np.unique(np.concatenate((np.searchsorted(upto, np.arange(0, upto[-1], PRODUCTS)), [len(n)])))
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        of = np.repeat(np.arange(x, y), n[x:y])
+        to = start[at[of]] + np.arange(upto[x], upto[y]) - upto[of]
+        out += np.bincount(row[of] * (b - a) + s_row[to], diff[of] * s_diff[to], len(out))
+    t_sum, s_sum = t.sums(i, j)[0], s.sums(a, b)[0]
+    return out.reshape(j - i, b - a) + t.base[i:j, None] * s_sum + (t_sum - t.width * t.base[i:j])[:, None] * s.base[a:b]
+
+
+def _of_dots(metric: str, out: np.ndarray, tt: np.ndarray, mm: np.ndarray) -> np.ndarray:
+    """The scores that follow from products and the rows' sums of squares."""
+    if metric == "euclidean":
+        return np.sqrt(np.maximum(tt[:, None] + mm - 2 * out, 0))
+    if metric == "angular":
+        size = np.sqrt(tt[:, None] * mm)
+        return np.sqrt(np.maximum(2 - 2 * np.divide(out, size, out=np.zeros_like(out), where=size > 0), 0))
+    return out
+
+
+def _block_scores(metric: str, t: Cells, i: int, j: int, s: Cells, a: int, b: int) -> np.ndarray:
+    """Scores of cells i to j of t by cells a to b of s, rounded to nine places; no dense part has over DENSE_BYTES, or more than a row."""
+    if t.off is not None and s.off is not None and metric not in ("manhattan", "hamming"):
+        if (out := _sparse_dots(t, i, j, s, a, b)) is not None:
+            return np.round(_of_dots(metric, out, t.sums(i, j)[1], s.sums(a, b)[1]), 9)
+    step = max(1, DENSE_BYTES // (8 * max(s.width, 1)))
+    out = np.empty((j - i, b - a))
+    for x in range(i, j, step):
+        rows = t.rows(x, min(x + step, j))
+        for y in range(a, b, step):
+            out[x - i : x - i + step, y - a : y - a + step] = _scores(metric, rows, s.rows(y, min(y + step, b)))
+    return out
+
+
 def _scores(metric: str, t: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Scores of rows of t by rows of m, rounded to nine places."""
     if metric == "manhattan":
@@ -109,12 +181,7 @@ def _scores(metric: str, t: np.ndarray, m: np.ndarray) -> np.ndarray:
     elif metric == "hamming":
         out = np.stack([(m != x).sum(axis=1).astype(np.float64) for x in t])
     else:
-        out = t @ m.T
-        if metric == "euclidean":
-            out = np.sqrt(np.maximum((t * t).sum(1)[:, None] + (m * m).sum(1) - 2 * out, 0))
-        elif metric == "angular":
-            size = np.sqrt((t * t).sum(1)[:, None] * (m * m).sum(1))
-            out = np.sqrt(np.maximum(2 - 2 * np.divide(out, size, out=np.zeros_like(out), where=size > 0), 0))
+        out = t @ m.T if metric == "dot" else _of_dots(metric, t @ m.T, (t * t).sum(1), (m * m).sum(1))
     return np.round(out, 9)
 
 
@@ -125,14 +192,13 @@ def _best(metric: str, k: int) -> Callable[[Cells, Cells], pa.RecordBatch]:
     def best(t: Cells, s: Cells) -> pa.RecordBatch:
         if len(t.ids) and len(s.ids) and t.width != s.width:
             raise ValueError(f"vectors of {t.width} and of {s.width} values")
-        step = max(1, min(BLOCK, DENSE_BYTES // (8 * max(s.width, 1))))
         out: list[tuple[np.ndarray, ...]] = []
         for i in range(0, len(t.ids), AT_ONCE):
-            rows = t.rows(i, i + AT_ONCE)
+            j = min(i + AT_ONCE, len(t.ids))
             held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            most = np.full((len(rows), 1), np.inf)
-            for a in range(0, len(s.ids), step):
-                key = sign * _scores(metric, rows, s.rows(a, a + step))
+            most = np.full((j - i, 1), np.inf)
+            for a in range(0, len(s.ids), BLOCK):
+                key = sign * _block_scores(metric, t, i, j, s, a, min(a + BLOCK, len(s.ids)))
                 n = min(k, key.shape[1])
                 r, c = np.nonzero(key <= np.minimum(most, np.partition(key, n - 1, axis=1)[:, n - 1 : n]))
                 r, ids, key = (np.concatenate(x) for x in zip(held, (r, s.ids[a + c], key[r, c])))
@@ -150,10 +216,14 @@ def _best(metric: str, k: int) -> Callable[[Cells, Cells], pa.RecordBatch]:
     return best
 
 
+def _bytes(df: DataFrame) -> Column:
+    """The bytes of a row's vector."""
+    return (F.size("vec") * (12 if "idx" in df.columns else 8) + 8).cast("long")
+
+
 def _size(df: DataFrame) -> tuple[int, int]:
     """Rows of vectors, and their bytes."""
-    per = F.size("vec") * (12 if "idx" in df.columns else 8) + 8
-    n, size = df.select(F.count(F.lit(1)), F.sum(per.cast("long"))).first()
+    n, size = df.select(F.count(F.lit(1)), F.sum(_bytes(df))).first()
     return n or 0, size or 0
 
 
@@ -161,14 +231,14 @@ def _named(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("cell_id", F.col("cell_id").cast("long")).withColumnRenamed("cell_id", name)
 
 
-def top_k(targets: DataFrame, sources: DataFrame, k: int, metric: str = "dot", broadcast_bytes: int = BROADCAST_BYTES, block: int = BLOCK) -> DataFrame:
+def top_k(targets: DataFrame, sources: DataFrame, k: int, metric: str = "dot", broadcast_bytes: int | None = None, block: int = BLOCK) -> DataFrame:
     """(target_id, source_id, rn, score) of each target's k best sources, exactly; vectors of both as of vectors() or sparse_vectors().
 
     metric 'dot': highest product first; 'euclidean', 'angular' (the square root of 2 - 2 cos), 'manhattan' and 'hamming' (places
     that differ): smallest distance first. Scores are rounded to nine places, ties go to the smaller source id; k is
     clipped to the number of sources. While all sources fit the byte bound, each task of targets scans them from a
     broadcast; else blocks of both meet in a task for each pair, and the best of the blocks are merged by rank. Either
-    way products are matrix products over blocks of bounded bytes.
+    way products are matrix products over blocks of bounded bytes, or of sparse vectors sums over the places that both have.
     """
     if metric not in METRICS:
         raise ValueError(f"no such metric: {metric}")
@@ -177,7 +247,7 @@ def top_k(targets: DataFrame, sources: DataFrame, k: int, metric: str = "dot", b
     if k < 1:
         return targets.sparkSession.createDataFrame([], EDGES)
     t, s, best = _named(targets, "target_id"), _named(sources, "source_id"), _best(metric, k)
-    if size <= broadcast_bytes:
+    if size <= ((SPARSE_BYTES if "idx" in s.columns else BROADCAST_BYTES) if broadcast_bytes is None else broadcast_bytes):
         shared = targets.sparkSession.sparkContext.broadcast(Cells.of(s.toArrow(), "source_id"))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +260,10 @@ def top_k(targets: DataFrame, sources: DataFrame, k: int, metric: str = "dot", b
 
 def _by_blocks(t: DataFrame, s: DataFrame, k: int, metric: str, block: int) -> DataFrame:
     """top_k() of targets and sources that share a _list. A list's sources are cut into blocks and its targets into slices by a
-    hash of their ids, as its counts ask for, so that a task holds one block and one slice however large a list is."""
-    sizes = t.groupBy("_list").agg(F.count(F.lit(1)).alias("_t")).join(s.groupBy("_list").agg(F.count(F.lit(1)).alias("_s")), "_list")
-    cuts = F.broadcast(stored(sizes.select(F.col("_list").alias("_l"), F.ceil(F.col("_s") / block).alias("_blocks"), F.ceil(F.col("_t") / TARGETS).alias("_slices")), "lists"))
+    hash of their ids, as its counts and bytes ask for, so that a task holds one block and one slice however large a list is."""
+    parts = lambda df, most: F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum(_bytes(df)) / TASK_BYTES))
+    sizes = t.groupBy("_list").agg(parts(t, TARGETS).alias("_slices")).join(s.groupBy("_list").agg(parts(s, block).alias("_blocks")), "_list")
+    cuts = F.broadcast(stored(sizes.select(F.col("_list").alias("_l"), "_blocks", "_slices"), "lists"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     s = s.join(cuts, F.col("_list") == F.col("_l")).withColumn("_block", F.pmod(F.xxhash64("source_id"), "_blocks")).withColumn("_slice", upto("_slices")).drop("_l", "_blocks", "_slices")
     t = t.join(cuts, F.col("_list") == F.col("_l")).withColumn("_slice", F.pmod(F.xxhash64("target_id"), "_slices")).withColumn("_block", upto("_blocks")).drop("_l", "_blocks", "_slices")
@@ -276,7 +347,7 @@ def bucketed_top_k(targets: DataFrame, sources: DataFrame, k: int, metric: str =
 
 def spearman_knn(targets: DataFrame | Modality, sources: DataFrame | Modality, k: int = 20, sign: int = 1, search: Callable = top_k) -> DataFrame:
     """Each target cell's k source cells of the highest (sign 1) or lowest (-1) rank correlation; modalities, or long values of dense ones."""
-    return search(score_vectors(targets, sign), score_vectors(sources), k)
+    return search(stored(score_vectors(targets, sign), "targets"), stored(score_vectors(sources), "sources"), k)
 
 
 def first_k(edges: DataFrame, k: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType
 
 from plexmat.functions import rank, stats
 from plexmat.functions.scalar import strip_version
+from plexmat.sources.shared import stored
 
 
 @dataclass(frozen=True)
@@ -189,7 +190,8 @@ def from_vectors(df: DataFrame, name: str, cell: str, vector: str, cluster: str
     return Modality(name, cells, values.select("feat_id").distinct(), values)
 
 
-def from_facts(facts: DataFrame, name: str, cell: Column, feature: Column, value: Column) -> Modality:
-    """A sparse modality that sums facts by cell and feature."""
+def from_facts(facts: DataFrame, name: str, cell: Column, feature: Column, value: Column, keep: bool = False) -> Modality:
+    """A sparse modality that sums facts by cell and feature; with keep, sums are stored, so that they are made once."""
     values = facts.groupBy(cell.alias("cell_id"), feature.alias("feat_id")).agg(F.sum(value).cast("double").alias("value"))
+    values = stored(values, "values") if keep else values
     return Modality(name, values.select("cell_id").distinct(), values.select("feat_id").distinct(), values, sparse=True)

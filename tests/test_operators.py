@@ -11,6 +11,7 @@ from plexmat.operators import decompose, features, impute, integrate, neighbors
 from plexmat.plans import fuse
 from plexmat.sources import modality
 from plexmat.sources.modality import Modality
+from plexmat.sources.shared import stored
 
 
 def make(spark, m, name="m", cluster=None, ids=None):
@@ -51,6 +52,52 @@ def test_knn_exact_in_both_forms(spark):
     assert neighbors.top_k(va, vb.limit(0), 5).count() == neighbors.top_k(va.limit(0), vb, 5).count() == 0
 
 
+def cells_of(rng, n, width, share):
+    """Sparse Cells with a base of their own each, and their matrix."""
+    m = rng.random((n, width)) < share
+    base, idx = rng.normal(size=n), np.nonzero(m)[1]
+    flat = rng.normal(size=len(idx))
+    full = np.repeat(base[:, None], width, axis=1)
+    full[m] = flat
+    return neighbors.Cells(np.arange(n), flat, width, np.concatenate(([0], m.sum(1).cumsum())), idx, base), full
+
+
+def test_wide_sparse_cells_are_not_made_dense(monkeypatch):
+    rng = np.random.default_rng(3)
+    dense, rows = [], neighbors.Cells.rows
+    monkeypatch.setattr(neighbors.Cells, "rows", lambda *x: dense.append(out := rows(*x)) or out)
+    (t, a), (s, b) = (cells_of(rng, n, 40_000, 0.001) for n in (200, 30))
+    for metric, want in {"dot": -a @ b.T, "euclidean": (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, "hamming": np.stack([(b != x).sum(1) for x in a])}.items():
+        dense.clear()
+        got = neighbors._best(metric, 3)(t, s)
+        assert got.column("source_id").to_pylist() == np.argsort(want, axis=1, kind="stable")[:, :3].ravel().tolist()
+        assert metric == "hamming" or not dense
+        assert max((x.nbytes for x in dense), default=0) <= neighbors.DENSE_BYTES
+
+
+def test_sparse_kernel_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    for share in (0.0, 0.02, 0.9):
+        (t, a), (s, b) = (cells_of(rng, n, 300, share) for n in (20, 25))
+        for products, size in ((7, 5000), (1 << 20, 32 << 20)):
+            monkeypatch.setattr(neighbors, "PRODUCTS", products)
+            monkeypatch.setattr(neighbors, "DENSE_BYTES", size)
+            for metric in ("dot", "euclidean", "angular", "manhattan"):
+                assert np.allclose(neighbors._block_scores(metric, t, 2, 19, s, 3, 25), neighbors._scores(metric, a[2:19], b[3:25]), atol=1e-6)
+
+
+def test_blocks_of_bounded_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = (sparse(spark, rng.integers(1, 4, (n, 9)) * (rng.random((n, 9)) < 0.5)) for n in (31, 29))
+    va, vb = (stored(neighbors.score_vectors(x), "test") for x in (a, b))
+    want = lists(neighbors.top_k(va, vb, 4))
+    sizes = []
+    monkeypatch.setattr(neighbors, "TASK_BYTES", 400)
+    monkeypatch.setattr(neighbors, "stored", lambda df, what: sizes.append(stored(df, what)) or sizes[-1])
+    assert lists(neighbors.top_k(va, vb, 4, broadcast_bytes=0)) == want
+    assert all(r._blocks > 1 and r._slices > 1 for r in sizes[0].collect())
+
+
 def test_metrics(spark):
     rng = np.random.default_rng(1)
     t, s = rng.integers(0, 3, (11, 6)).astype(float), rng.integers(0, 3, (13, 6)).astype(float)
