@@ -75,6 +75,15 @@ def test_wide_sparse_cells_are_not_made_dense(monkeypatch):
         assert max((x.nbytes for x in dense), default=0) <= neighbors.DENSE_BYTES
 
 
+def test_wide_sparse_candidates_are_not_made_dense(monkeypatch):
+    """The 5 * 10 candidates that an imputation asks for once the cap is passed."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(neighbors.Cells, "rows", lambda *x: pytest.fail("dense rows"))
+    (t, a), (s, b) = (cells_of(rng, n, 30_000, 0.001) for n in (40, 120))
+    got = neighbors._best("dot", 50)(t, s)
+    assert got.column("source_id").to_pylist() == np.argsort(-a @ b.T, axis=1, kind="stable")[:, :50].ravel().tolist()
+
+
 def test_sparse_kernel_in_parts(monkeypatch):
     rng = np.random.default_rng(4)
     for share in (0.0, 0.02, 0.9):
