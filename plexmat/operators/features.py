@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexmat.functions import stats
@@ -13,6 +13,8 @@ from plexmat.sources.modality import Modality
 from plexmat.sources.shared import stored
 
 BINS = 10
+#: The share by which a number must be above another to count as more; the order of a sum's terms moves it by less.
+EQUAL = 1e-12
 
 
 def kruskal_features(m: Modality) -> DataFrame:
@@ -23,10 +25,16 @@ def kruskal_features(m: Modality) -> DataFrame:
     return m.features.select("feat_id").join(found, "feat_id", "left").select("feat_id", F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("pval", F.lit(1.0)).alias("pval"))
 
 
+def _above(x: Column, edge: Column) -> Column:
+    """x > edge, for sums whose last digits depend on the order of their terms: equal ones are not above each other."""
+    return x - edge > EQUAL * F.greatest(F.abs(x), F.abs(edge))
+
+
 def decile_features(m: Modality, measure: str = "vmr", percentile: float = 30) -> DataFrame:
     """(feat_id, mean, spread, decile, variable): of each decile of the means but the highest, the top `percentile` by spread.
 
-    Deciles have interpolated quantiles of the means as edges; equal edges are an error. The tables here have one row for each
+    Deciles have interpolated quantiles of the means as edges; equal edges are an error. Features of the same values get the
+    same flag, also at an edge: what is above it by less than a share of EQUAL is not. The tables here have one row for each
     feature; their quantiles are one array, which is joined as a single row.
     """
     if measure not in ("vmr", "sd", "std"):
@@ -36,10 +44,10 @@ def decile_features(m: Modality, measure: str = "vmr", percentile: float = 30) -
     s = stored(s.select("feat_id", "mean", spread.alias("spread")), "spread")
     edges = s.agg(F.percentile("mean", F.array(*(F.lit(i / BINS) for i in range(BINS + 1)))).alias("edges"))
     inner = F.slice("edges", 2, BINS - 1)
-    checked = F.when(F.size(F.array_distinct("edges")) < BINS + 1, F.raise_error(F.lit("the deciles of the means are not distinct"))).otherwise(F.size(F.filter(inner, lambda e: e < F.col("mean"))))
+    checked = F.when(F.size(F.array_distinct("edges")) < BINS + 1, F.raise_error(F.lit("the deciles of the means are not distinct"))).otherwise(F.size(F.filter(inner, lambda e: _above(F.col("mean"), e))))
     binned = s.join(F.broadcast(edges)).select("feat_id", "mean", "spread", checked.alias("decile"))
     cut = binned.groupBy("decile").agg(F.percentile("spread", F.lit(1 - percentile / 100)).alias("cut"))
-    return binned.join(F.broadcast(cut), "decile").select("feat_id", "mean", "spread", "decile", ((F.col("spread") > F.col("cut")) & (F.col("decile") < BINS - 1)).cast("int").alias("variable"))
+    return binned.join(F.broadcast(cut), "decile").select("feat_id", "mean", "spread", "decile", (_above(F.col("spread"), F.col("cut")) & (F.col("decile") < BINS - 1)).cast("int").alias("variable"))
 
 
 def top_features(scores: DataFrame, n: int) -> DataFrame:

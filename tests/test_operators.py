@@ -401,3 +401,14 @@ def test_streaming_moments(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.k: (r["mean"], r["std"]) for r in spark.table("moments").collect()} == {"a": (2.0, 1.0), "b": (5.0, 0.0)}
+
+
+def test_equal_features_get_equal_flags(spark):
+    """Spreads that differ in the last digits alone, by the order in which a feature's values are summed."""
+    values = [(0.1, 0.2, 0.3, 0.7), (0.7, 0.3, 0.2, 0.1), (0.3, 0.1, 0.7, 0.2)]
+    exact = [[(1 + f // 10 * 10 + x) * 1.1 for x in v] for f in range(100) for v in [values[f % 3] if f % 10 < 7 else (0.1, 0.2, 0.3, 0.70001)]]
+    df = spark.createDataFrame([(c, f, float(v[c])) for f, v in enumerate(exact) for c in range(4)], "cell_id long, feat_id long, value double").repartition(3)
+    ids = [df.select(x).distinct() for x in ("cell_id", "feat_id")]
+    got = features.decile_features(Modality("m", *ids, df), "sd", 80).toPandas().sort_values("feat_id")
+    first = got[got.feat_id % 10 < 7]
+    assert first.groupby(first.feat_id // 10)[["decile", "variable"]].nunique().max().max() == 1
