@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexmat.sources.shared import Scratch, shared_dir, small, stored  # noqa: F401  used by the operators as common.*
+from plexmat.sources.shared import Scratch, shared_dir, small, small_batches, stored  # noqa: F401  used by the operators as common.*
 
 #: Bytes of text that one kernel call works on; a single longer text is worked on alone.
 CHUNK_BYTES = 1 << 20
@@ -19,12 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows and bytes, so that long texts cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-
-
 def dealt_anew(col: str) -> Column:
     """The whole number itself, by an expression that the optimizer keeps: a join on it deals its rows anew, so that hot keys can be split."""
     return F.col(col).bitwiseXOR(F.lit(0))

@@ -15,22 +15,24 @@ from pyspark.sql import functions as F
 from plexmat.functions.rank import rank_zscores
 from plexmat.functions.scalar import round_unit_value
 from plexmat.sources.modality import Modality, same_ids
-from plexmat.sources.shared import Scratch, small, stored
+from plexmat.sources.shared import Scratch, small, small_batches, stored
 
 #: Bytes of dense and of sparse source vectors up to which they are broadcast whole; more are searched block by block.
 BROADCAST_BYTES, SPARSE_BYTES = 256 << 20, 64 << 20
-#: Rows of a block of sources, and of targets that meet it in one task, and bytes of either.
-BLOCK, TARGETS, TASK_BYTES = 4096, 16384, 32 << 20
-#: Bytes of a dense block that a kernel makes of rows, and targets that it takes at a time.
-DENSE_BYTES, AT_ONCE = 32 << 20, 256
+#: Rows of a block of sources, and of a slice of targets that meet it in one task, and bytes of a slice; a block has twice as many at most.
+SOURCES, TARGETS, TASK_BYTES = 65536, 16384, 32 << 20
+#: Bytes of a dense block that a kernel makes of rows, and sources and targets that it takes at a time.
+DENSE_BYTES, BLOCK, AT_ONCE = 32 << 20, 4096, 256
 #: Products of sparse entries that a kernel makes at a time, and how many cells of a dense product take the time of one.
-PRODUCTS, DENSE_GAIN = 1 << 20, 32
+PRODUCTS, DENSE_GAIN = 1 << 18, 32
 #: Whether a metric's highest scores come first.
 METRICS = {"dot": True, "euclidean": False, "angular": False, "manhattan": False, "hamming": False}
 #: Lists of the bucketed search at most.
 LISTS = 4096
 #: Features up to which their places are broadcast.
 BROADCAST_ROWS = 500_000
+#: What a block of sources and a slice of targets that meet have in common.
+PAIR = ("_list", "_block", "_slice")
 EDGES = "target_id long, source_id long, rn int, score double"
 
 
@@ -185,37 +187,85 @@ def _scores(metric: str, t: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.round(out, 9)
 
 
+class Best:
+    """The k best sources, of those added so far, of the cells i to j of t; ties go to the smaller source id."""
+
+    def __init__(self, metric: str, k: int, t: Cells, i: int, j: int) -> None:
+        self.metric, self.k, self.t, self.i, self.j = metric, k, t, i, j
+        self.held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.most = np.full((j - i, 1), np.inf)
+
+    @staticmethod
+    def of(metric: str, k: int, t: Cells) -> list[Best]:
+        """For AT_ONCE cells of t each."""
+        return [Best(metric, k, t, i, min(i + AT_ONCE, len(t.ids))) for i in range(0, len(t.ids), AT_ONCE)]
+
+    def add(self, s: Cells) -> None:
+        if len(s.ids) and self.t.width != s.width:
+            raise ValueError(f"vectors of {self.t.width} and of {s.width} values")
+        sign = -1.0 if METRICS[self.metric] else 1.0
+        for a in range(0, len(s.ids), BLOCK):
+            key = sign * _block_scores(self.metric, self.t, self.i, self.j, s, a, min(a + BLOCK, len(s.ids)))
+            n = min(self.k, key.shape[1])
+            r, c = np.nonzero(key <= np.minimum(self.most, np.partition(key, n - 1, axis=1)[:, n - 1 : n]))
+            r, ids, key = (np.concatenate(x) for x in zip(self.held, (r, s.ids[a + c], key[r, c])))
+            order = np.lexsort((ids, key, r))
+            r, ids, key = r[order], ids[order], key[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            self.held = tuple(x[place < self.k] for x in (r, ids, key))
+            full = place == self.k - 1
+            self.most[r[full], 0] = key[full]
+
+    def edges(self) -> tuple[np.ndarray, ...]:
+        """The targets, sources, places and scores."""
+        r, ids, key = self.held
+        return self.t.ids[self.i + r], ids, np.arange(len(r)) - np.searchsorted(r, r) + 1, (-1.0 if METRICS[self.metric] else 1.0) * key
+
+
+def _edges(found: list[Best]) -> pa.RecordBatch:
+    cols = [np.concatenate(x) for x in zip(*(x.edges() for x in found))] if found else [np.zeros(0)] * 4
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(d)) for x, d in zip(cols, (np.int64, np.int64, np.int32, np.float64))], ["target_id", "source_id", "rn", "score"])
+
+
 def _best(metric: str, k: int) -> Callable[[Cells, Cells], pa.RecordBatch]:
-    """A function of (targets, sources) that gives each target's k best sources; ties go to the smaller source id."""
-    sign = -1.0 if METRICS[metric] else 1.0
+    """A function of (targets, sources) that gives each target's k best sources."""
 
     def best(t: Cells, s: Cells) -> pa.RecordBatch:
-        if len(t.ids) and len(s.ids) and t.width != s.width:
-            raise ValueError(f"vectors of {t.width} and of {s.width} values")
-        out: list[tuple[np.ndarray, ...]] = []
-        for i in range(0, len(t.ids), AT_ONCE):
-            j = min(i + AT_ONCE, len(t.ids))
-            held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            most = np.full((j - i, 1), np.inf)
-            for a in range(0, len(s.ids), BLOCK):
-                key = sign * _block_scores(metric, t, i, j, s, a, min(a + BLOCK, len(s.ids)))
-                n = min(k, key.shape[1])
-                r, c = np.nonzero(key <= np.minimum(most, np.partition(key, n - 1, axis=1)[:, n - 1 : n]))
-                r, ids, key = (np.concatenate(x) for x in zip(held, (r, s.ids[a + c], key[r, c])))
-                order = np.lexsort((ids, key, r))
-                r, ids, key = r[order], ids[order], key[order]
-                place = np.arange(len(r)) - np.searchsorted(r, r)
-                held = tuple(x[place < k] for x in (r, ids, key))
-                full = place == k - 1
-                most[r[full], 0] = key[full]
-            if len(held[0]):
-                out.append((t.ids[i + held[0]], held[1], np.arange(len(held[0])) - np.searchsorted(held[0], held[0]) + 1, sign * held[2]))
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0)] * 4
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(d)) for x, d in zip(cols, (np.int64, np.int64, np.int32, np.float64))], ["target_id", "source_id", "rn", "score"])
+        found = Best.of(metric, k, t)
+        for x in found:
+            x.add(s)
+        return _edges(found)
 
     return best
 
 
+def _streamed(metric: str, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches of vectors in the order of PAIR and _side (0: targets, 1: sources), by cell_id, that gives the k best sources
+    of each pair's targets. It holds one pair's targets, and of the sources no more than the batch that it reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found = None, []
+        for b in batches:
+            marks = np.stack([b.column(c).to_numpy() for c in (*PAIR, "_side")])
+            cuts = [0, *(np.flatnonzero((np.diff(marks) != 0).any(axis=0)) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                *pair, side = marks[:, lo].tolist()
+                if pair != at:
+                    yield _edges(found)
+                    at, found = pair, []
+                part = b.slice(lo, hi - lo)
+                lists = [c for c in ("vec", "idx", "base", "width") if c in part.schema.names and not part.column(c).null_count]
+                cells = Cells.of(part.select(["cell_id", *lists]), "cell_id")
+                if side == 0:
+                    found += Best.of(metric, k, cells)
+                else:
+                    for x in found:
+                        x.add(cells)
+        yield _edges(found)
+
+    return run
+
+
 def _bytes(df: DataFrame) -> Column:
     """The bytes of a row's vector."""
     return (F.size("vec") * (12 if "idx" in df.columns else 8) + 8).cast("long")
@@ -231,7 +281,7 @@ def _named(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("cell_id", F.col("cell_id").cast("long")).withColumnRenamed("cell_id", name)
 
 
-def top_k(targets: DataFrame, sources: DataFrame, k: int, metric: str = "dot", broadcast_bytes: int | None = None, block: int = BLOCK) -> DataFrame:
+def top_k(targets: DataFrame, sources: DataFrame, k: int, metric: str = "dot", broadcast_bytes: int | None = None, block: int = SOURCES) -> DataFrame:
     """(target_id, source_id, rn, score) of each target's k best sources, exactly; vectors of both as of vectors() or sparse_vectors().
 
     metric 'dot': highest product first; 'euclidean', 'angular' (the square root of 2 - 2 cos), 'manhattan' and 'hamming' (places
@@ -249,6 +299,7 @@ def top_k(targets: DataFrame, sources: DataFrame, k: int, metric: str = "dot", b
     t, s, best = _named(targets, "target_id"), _named(sources, "source_id"), _best(metric, k)
     if size <= ((SPARSE_BYTES if "idx" in s.columns else BROADCAST_BYTES) if broadcast_bytes is None else broadcast_bytes):
         shared = targets.sparkSession.sparkContext.broadcast(Cells.of(s.toArrow(), "source_id"))
+        small_batches(targets.sparkSession)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -260,24 +311,23 @@ def top_k(targets: DataFrame, sources: DataFrame, k: int, metric: str = "dot", b
 
 def _by_blocks(t: DataFrame, s: DataFrame, k: int, metric: str, block: int) -> DataFrame:
     """top_k() of targets and sources that share a _list. A list's sources are cut into blocks and its targets into slices by a
-    hash of their ids, as its counts and bytes ask for, so that a task holds one block and one slice however large a list is."""
-    parts = lambda df, most: F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum(_bytes(df)) / TASK_BYTES))
-    sizes = t.groupBy("_list").agg(parts(t, TARGETS).alias("_slices")).join(s.groupBy("_list").agg(parts(s, block).alias("_blocks")), "_list")
+    hash of their ids, as its counts and bytes ask for. A task meets one block and one slice after the other, however large a list
+    is: it holds the slice and reads the block batch by batch."""
+    parts = lambda df, most, size: F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum(_bytes(df)) / size))
+    sizes = t.groupBy("_list").agg(parts(t, TARGETS, TASK_BYTES).alias("_slices")).join(s.groupBy("_list").agg(parts(s, block, 2 * TASK_BYTES).alias("_blocks")), "_list")
     cuts = F.broadcast(stored(sizes.select(F.col("_list").alias("_l"), "_blocks", "_slices"), "lists"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    s = s.join(cuts, F.col("_list") == F.col("_l")).withColumn("_block", F.pmod(F.xxhash64("source_id"), "_blocks")).withColumn("_slice", upto("_slices")).drop("_l", "_blocks", "_slices")
-    t = t.join(cuts, F.col("_list") == F.col("_l")).withColumn("_slice", F.pmod(F.xxhash64("target_id"), "_slices")).withColumn("_block", upto("_blocks")).drop("_l", "_blocks", "_slices")
-    best, key = _best(metric, k), ["_list", "_block", "_slice"]
-
-    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([best(Cells.of(a, "target_id"), Cells.of(b, "source_id"))])
-
-    found = t.groupBy(*key).cogroup(s.groupBy(*key)).applyInArrow(pair, EDGES)
+    s = s.join(cuts, F.col("_list") == F.col("_l")).withColumn("_block", F.pmod(F.xxhash64("source_id"), "_blocks")).withColumn("_slice", upto("_slices"))
+    t = t.join(cuts, F.col("_list") == F.col("_l")).withColumn("_slice", F.pmod(F.xxhash64("target_id"), "_slices")).withColumn("_block", upto("_blocks"))
+    t, s = (x.withColumnRenamed(own, "cell_id").withColumn("_side", F.lit(side)).drop("_l", "_blocks", "_slices") for side, (x, own) in enumerate(((t, "target_id"), (s, "source_id"))))
+    small_batches(t.sparkSession)
+    dealt = t.unionByName(s, allowMissingColumns=True).repartition(*PAIR).sortWithinPartitions(*PAIR, "_side")
+    found = dealt.mapInArrow(_streamed(metric, k), EDGES)
     order = F.col("score").desc() if METRICS[metric] else F.col("score")
     return found.withColumn("rn", F.row_number().over(Window.partitionBy("target_id").orderBy(order, "source_id"))).where(F.col("rn") <= k)
 
 
-def bucketed_top_k(targets: DataFrame, sources: DataFrame, k: int, metric: str = "dot", lists: int | None = None, probes: int | None = None, rounds: int = 2, seed: int = 23, block: int = BLOCK) -> DataFrame:
+def bucketed_top_k(targets: DataFrame, sources: DataFrame, k: int, metric: str = "dot", lists: int | None = None, probes: int | None = None, rounds: int = 2, seed: int = 23, block: int = SOURCES) -> DataFrame:
     """top_k() among the sources of the `probes` lists nearest to each target, with exact scores: approximate, for many sources.
 
     The lists' centres are source vectors picked by a seeded hash of their ids and moved `rounds` times to the mean of

@@ -1,4 +1,4 @@
-"""Tables in the folder that all executors share: they cut lineage and survive lost executors."""
+"""Tables in the folder that all executors share, which cut lineage and survive lost executors; bounds of what a Python worker gets."""
 
 from __future__ import annotations
 
@@ -72,3 +72,9 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 def small(df: DataFrame, most: int) -> DataFrame:
     """A stored table, with a broadcast hint if its counted rows are at most `most`."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches by rows and bytes, so that long texts or vectors cannot fill a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -1,8 +1,10 @@
 import hashlib
+import weakref
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +109,35 @@ def test_blocks_of_bounded_bytes(spark, monkeypatch):
     assert all(r._blocks > 1 and r._slices > 1 for r in sizes[0].collect())
 
 
+def test_sources_are_read_batch_by_batch(monkeypatch):
+    """A pair of blocks holds its targets and one batch of sources at a time; pairs may share a batch, and dense cells meet sparse ones."""
+    rng = np.random.default_rng(7)
+    (t, a), (s, b) = (cells_of(rng, n, 60, 0.1) for n in (50, 700))
+
+    def batch(c, lo, hi, block, side, dense=False):
+        part = [np.split(x, c.off[1:-1])[lo:hi] for x in (c.idx.astype(np.int32), c.flat)]
+        cols = {"cell_id": c.ids[lo:hi], "idx": None if dense else part[0], "vec": [*c.rows(lo, hi)] if dense else part[1], "base": None if dense else c.base[lo:hi], "width": None if dense else [60] * (hi - lo)}
+        kinds = {"cell_id": pa.int64(), "idx": pa.list_(pa.int32()), "vec": pa.list_(pa.float64()), "base": pa.float64(), "width": pa.int32()}
+        return pa.table({"_list": [0] * (hi - lo), "_block": [block] * (hi - lo), "_slice": [0] * (hi - lo), "_side": [side] * (hi - lo)} | {k: pa.nulls(hi - lo, kinds[k]) if v is None else pa.array(v, kinds[k]) for k, v in cols.items()})
+
+    for dense in (False, True):
+        live, most = [], []
+        of = neighbors.Cells.of
+
+        def counted(*x):
+            live.append(weakref.ref(out := of(*x)))
+            most.append(sum(len(c.ids) for r in live if (c := r()) is not None))
+            return out
+
+        pairs = [pa.concat_tables([batch(t, 0, 20, i, 0, dense), batch(t, 20, 50, i, 0, dense), *(batch(s, x, x + 50, i, 1) for x in range(350 * i, 350 * i + 350, 50))]) for i in (0, 1)]
+        with monkeypatch.context() as m:
+            m.setattr(neighbors.Cells, "of", counted)
+            got = pa.Table.from_batches(neighbors._streamed("dot", 4)(b for b in pa.concat_tables(pairs).combine_chunks().to_batches(max_chunksize=30)))
+        assert max(most) <= 50 + 30 + 30
+        want = np.stack([np.argsort(np.round(-a @ b[350 * i : 350 * i + 350].T, 9), axis=1, kind="stable")[:, :4] + 350 * i for i in (0, 1)])
+        assert got["source_id"].to_pylist() == want.ravel().tolist() and got["target_id"].to_pylist() == np.tile(np.repeat(np.arange(50), 4), 2).tolist()
+
+
 def test_metrics(spark):
     rng = np.random.default_rng(1)
     t, s = rng.integers(0, 3, (11, 6)).astype(float), rng.integers(0, 3, (13, 6)).astype(float)
